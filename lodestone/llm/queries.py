@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id
+from lodestone.llm import language_id, syncmers
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-_QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id}
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op3_syncmers": op3_syncmers}
 _SQL: dict[str, str] = {}
 
 
