@@ -137,7 +137,7 @@ def fit(docs: DataFrame, training: Column, text: str, label: str, key: str, char
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return ()
-    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 2 * texts / n) * (2**64 - 1)) - 2**63)]), F.col("label"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(2 * texts * 2**64 // n, 2**64 - 1) - 2**63)]), F.col("label"))
     sample = usable.where(F.col("at") <= limit).select("label", "at", F.substring("text", 1, chars_of_a_text).alias("text")).collect()
     out = []
     for language in sorted(sizes):
