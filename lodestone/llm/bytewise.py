@@ -89,3 +89,49 @@ class Words:
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
+
+
+class HashIndex:
+    """Places of 64-bit hashes, in order of arrival, in an open table that is probed for many hashes at once."""
+
+    def __init__(self, slots: int = 1 << 21):
+        self.keys, self.places, self.used = np.zeros(slots, dtype=U64), np.full(slots, -1, dtype=np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash; -1 where it has none."""
+        mask = U64(len(self.keys) - 1)
+        slot = (hashes & mask).astype(np.int64)
+        out = self.places[slot]
+        open_ = np.flatnonzero((self.keys[slot] != hashes) & (out >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(mask)
+            at = slot[open_]
+            out[open_] = self.places[at]
+            open_ = open_[(self.keys[at] != hashes[open_]) & (out[open_] >= 0)]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Places for distinct hashes that have none; the table doubles before it is half full."""
+        if 2 * (self.used + len(hashes)) > len(self.keys):
+            old, places = self.keys[self.places >= 0], self.places[self.places >= 0]
+            slots = len(self.keys)
+            while 2 * (self.used + len(hashes)) > slots:
+                slots *= 2
+            self.keys, self.places = np.zeros(slots, dtype=U64), np.full(slots, -1, dtype=np.int64)
+            self._put(old, places)
+        out = np.arange(self.used, self.used + len(hashes))
+        self._put(hashes, out)
+        self.used += len(hashes)
+        return out
+
+    def _put(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot, left = (hashes & U64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            at = slot[left]
+            free = self.places[at] < 0
+            self.places[at[free]] = places[left[free]]  # of several in one slot the last stays
+            done = self.places[at] == places[left]
+            self.keys[at[done]] = hashes[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & mask

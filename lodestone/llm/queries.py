@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, syncmers
+from lodestone.llm import language_id, packing, syncmers
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,13 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op3_syncmers": op3_syncmers}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 4096 tokens, packed into sequences of 4096."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
+
+
+_QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op3_syncmers": op3_syncmers, "op9_best_fit_packing": op9_best_fit_packing}
 _SQL: dict[str, str] = {}
 
 
