@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, packing, syncmers
+from lodestone.llm import language_id, near_dedup, packing, syncmers
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
 
 
-_QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op3_syncmers": op3_syncmers, "op9_best_fit_packing": op9_best_fit_packing}
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of every document: five words, likeness of at least 0.85."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op3_syncmers": op3_syncmers,
+    "op7_hyperminhash": op7_hyperminhash,
+    "op9_best_fit_packing": op9_best_fit_packing,
+}
 _SQL: dict[str, str] = {}
 
 
