@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, near_dedup, packing, syncmers
+from lodestone.llm import hpy_lm, language_id, near_dedup, packing, syncmers
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document under the model of nine tenths of them."""
+    scored = hpy_lm.score(_table(spark, sf_dir, "documents"), checksum("doc_id", 10) != 0)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near-duplicates of every document: five words, likeness of at least 0.85."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op3_syncmers": op3_syncmers,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_hyperminhash": op7_hyperminhash,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
