@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import hpy_lm, language_id, near_dedup, packing, syncmers
+from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by pattern and by randomness."""
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_syncmers": op3_syncmers,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_hyperminhash": op7_hyperminhash,
