@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers
+from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers, url_filter
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,32 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
 
 
+#: The rules of op4, as host, path and verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+_OP4_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM named
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of every document under the model of nine tenths of them."""
     scored = hpy_lm.score(_table(spark, sf_dir, "documents"), checksum("doc_id", 10) != 0)
@@ -56,11 +82,12 @@ _QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_syncmers": op3_syncmers,
+    "op4_url_filter": op4_url_filter,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_hyperminhash": op7_hyperminhash,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL}
 
 
 def queries() -> dict[str, Query]:
