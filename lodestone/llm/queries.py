@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers, url_filter
+from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers, url_filter, warc
 from lodestone.llm.shared import checksum
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,25 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+_OP5_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digested AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest FROM sized
+), least AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM digested
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM least
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of every document under the model of nine tenths of them."""
     scored = hpy_lm.score(_table(spark, sf_dir, "documents"), checksum("doc_id", 10) != 0)
@@ -83,11 +102,12 @@ _QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_syncmers": op3_syncmers,
     "op4_url_filter": op4_url_filter,
+    "op5_warc": op5_warc,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_hyperminhash": op7_hyperminhash,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
-_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL}
+_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op5_warc": _OP5_SQL}
 
 
 def queries() -> dict[str, Query]:
