@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import hpy_lm, language_id, near_dedup, packing, secret_scan, syncmers, url_filter, warc
-from lodestone.llm.shared import checksum
+from lodestone.llm import hpy_lm, language_id, mixing, near_dedup, packing, secret_scan, syncmers, topk_search, url_filter, warc
+from lodestone.llm.shared import checksum, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,30 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
 
 
+_OP8_SQL = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * c.c[i])) AS BIGINT) AS score
+  FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one."""
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is in a mixture of its sources that repeats none more than twice."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long").alias("n_tokens"))
+    return mixing.mix(cut(docs), "source", F.col("n_tokens"), "doc_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 4096 tokens, packed into sequences of 4096."""
     docs = _table(spark, sf_dir, "documents")
@@ -105,9 +129,11 @@ _QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_hyperminhash": op7_hyperminhash,
+    "op8_topk_search": op8_topk_search,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
-_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op5_warc": _OP5_SQL}
+_SQL: dict[str, str] = {"op4_url_filter": _OP4_SQL, "op5_warc": _OP5_SQL, "op8_topk_search": _OP8_SQL}
 
 
 def queries() -> dict[str, Query]:
