@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id
+from lodestone.llm import language_id, mixing, near_dedup, packing, secret_scan
 from lodestone.llm.shared import checksum, cut
 
 
@@ -16,7 +16,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the least id."""
+    gone = cut(near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(near_dedup.bounded_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows the text."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of sources that should weigh more come more often; each comes once at least."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
+    mixed = mixing.mix(docs, "source", size, "doc_id", most_passes=1.5)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens, packed into sequences."""
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Suffix automata, components of near-duplicates and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
