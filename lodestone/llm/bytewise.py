@@ -65,6 +65,15 @@ def batches(table: pa.RecordBatch, text: str, most: int) -> Iterator[tuple[pa.Re
         first = last
 
 
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in runs of about `most` bytes, or of one longer text."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
 class Words:
     """The words of many texts: start and end byte, a 64-bit hash of the lower-cased word, and each text's first word."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytewise import U64, Words, batches, mix, text_buffers
+from lodestone.llm.bytewise import U64, Words, batches, chunks, mix, text_buffers
 from lodestone.llm.shared import cut
 
 #: Discounts and strengths of the restaurants of contexts and of their parent.
@@ -77,13 +77,17 @@ def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts, each text followed by its end, the word before each (0 for the first), and first places."""
-    words = Words(data, offsets)
-    n = len(offsets) - 1
-    first = words.first + np.arange(n + 1)
-    out = np.full(len(words.hash) + n, END)
+    hashes, counts = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
+    for own, places in chunks(data, offsets):
+        words = Words(own, places)
+        hashes.append(words.hash)
+        counts.append(words.counts())
+    every, n = np.concatenate(hashes), len(offsets) - 1
+    first = np.append(0, np.cumsum(np.concatenate(counts) + 1))
+    out = np.full(len(every) + n, END)
     inner = np.ones(len(out), dtype=bool)
     inner[first[1:] - 1] = False
-    out[inner] = words.hash
+    out[inner] = every
     before = np.zeros(len(out), dtype=U64)
     before[1:] = out[:-1]
     before[first[:-1]] = 0
