@@ -35,3 +35,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+from lodestone.plans import function_queries  # noqa: E402, F401
