@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return _QUERIES["route_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
@@ -39,3 +39,4 @@ def oracle_sql() -> dict[str, str]:
 
 from lodestone.plans import function_queries  # noqa: E402, F401
 from lodestone.plans import ingest_queries  # noqa: E402, F401
+from lodestone.plans import relational_queries  # noqa: E402, F401
