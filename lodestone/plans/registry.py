@@ -40,3 +40,4 @@ def oracle_sql() -> dict[str, str]:
 from lodestone.plans import function_queries  # noqa: E402, F401
 from lodestone.plans import ingest_queries  # noqa: E402, F401
 from lodestone.plans import relational_queries  # noqa: E402, F401
+from lodestone.plans import selection_queries  # noqa: E402, F401
