@@ -42,3 +42,4 @@ from lodestone.plans import ingest_queries  # noqa: E402, F401
 from lodestone.plans import relational_queries  # noqa: E402, F401
 from lodestone.plans import selection_queries  # noqa: E402, F401
 from lodestone.plans import scoring_queries  # noqa: E402, F401
+from lodestone.plans import cluster_queries  # noqa: E402, F401
