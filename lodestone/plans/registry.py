@@ -43,3 +43,5 @@ from lodestone.plans import relational_queries  # noqa: E402, F401
 from lodestone.plans import selection_queries  # noqa: E402, F401
 from lodestone.plans import scoring_queries  # noqa: E402, F401
 from lodestone.plans import cluster_queries  # noqa: E402, F401
+from lodestone.plans import io_queries  # noqa: E402, F401
+from lodestone.plans import stream_queries  # noqa: E402, F401
