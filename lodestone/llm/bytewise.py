@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+_kept: list[dict] = []
+
+
+def keep_only(own: dict | None) -> None:
+    """A worker serves one operator after another: before one fills its cache, the others' caches are emptied."""
+    if own is not None and not any(c is own for c in _kept):
+        _kept.append(own)
+    for cache in _kept:
+        if cache is not own:
+            cache.clear()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and what they hold counts against executors."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Words are runs of bytes other than blank, tab, line feed, vertical tab, form feed and carriage return.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -65,7 +88,7 @@ def batches(table: pa.RecordBatch, text: str, most: int) -> Iterator[tuple[pa.Re
         first = last
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The texts in runs of about `most` bytes, or of one longer text."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytewise import U64, Words, batches, chunks, mix, text_buffers
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import cut, small_batches
 
 #: Discounts and strengths of the restaurants of contexts and of their parent.
 DISCOUNT, STRENGTH = (0.8, 0.7), (1.0, 10.0)
@@ -104,7 +104,7 @@ def contexts_of(docs: DataFrame, text: str, most: int, share: float) -> list[int
                 often = (count >= share * count.sum()) & (found != END)
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(count[often])], names=["word", "n"])
 
-    heavy = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    heavy = small_batches(docs.select(text)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in heavy.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 

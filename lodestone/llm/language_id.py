@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytewise import batches
+from lodestone.llm.bytewise import batches, keep_only, release
+from lodestone.llm.shared import small_batches
 
 #: A-Z and a-z share a class; each byte of other letters has its own; all else is class 0.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -58,18 +59,20 @@ def _automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(ways), width), -1, dtype=np.int64)
+    table = np.full((len(ways), width), -1, dtype=np.int32)
     for state, way in enumerate(ways):
         if way:
             table[state, list(way)] = list(way.values())
     root = np.where(table[0] < 0, 0, table[0])  # a class that the text lacks is a phrase of its own
     missing = table < 0
     missing[0] = True
-    return np.where(missing, root[None, :], table), missing
+    np.copyto(table, np.broadcast_to(root, table.shape), where=missing)
+    return table, missing
 
 
 def _tables(model: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All languages' automata in one array of places: the classes of bytes, each root's place, and the array."""
+    keep_only(_automata)
     if model not in _automata:
         seen = np.unique(np.concatenate([_CLASS[np.frombuffer(text, np.uint8)] for _, text in model]))
         narrow = np.zeros(256, dtype=np.int32)  # classes that no labelled text holds share one
@@ -79,10 +82,13 @@ def _tables(model: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndarra
         roots, parts, base = [], [], 0
         for _, text in model:
             to, begins = _automaton(narrow[_CLASS[np.frombuffer(text, np.uint8)]].tolist(), width)
-            place = (to * width + base).astype(np.int32)
-            parts.append(np.where(begins, place | _FLAG, place).ravel())
+            to *= width
+            to += base
+            to[begins] |= _FLAG
+            parts.append(to.ravel())
             roots.append(base)
             base += to.size
+            release()
         _automata.clear()
         _automata[model] = narrow[_CLASS], np.array(roots, dtype=np.int32), np.concatenate(parts)
     return _automata[model]
@@ -165,7 +171,7 @@ def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], text: str =
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for rows, data, offsets in batches(part, text, 16 << 20):
+            for rows, data, offsets in batches(part, text, 4 << 20):
                 known = has_letters(data, offsets)
                 best, score = np.full(rows.num_rows, "und", dtype=object), np.zeros(rows.num_rows)
                 if len(names):
@@ -176,5 +182,6 @@ def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], text: str =
                     best = np.where(known, names[order[0]], best)
                     score = np.where(known, 1 - first / np.maximum(second, 1e-9), 0.0)
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(best, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
+        release()
 
-    return docs.select(*keep).mapInArrow(predict, schema)
+    return small_batches(docs.select(*keep)).mapInArrow(predict, schema)

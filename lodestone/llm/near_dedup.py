@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytewise import U64, Words, batches, mix, text_buffers
-from lodestone.llm.shared import cut
+from lodestone.llm.bytewise import U64, Words, batches, chunks, keep_only, mix, release, text_buffers
+from lodestone.llm.shared import cut, small_batches
 
 REGISTERS, MANTISSA, BAND, BANDS = 128, 10, 5, 25
 _SHIFT = U64(64 - 7)
@@ -38,23 +38,24 @@ BROADCAST_ROWS = 1_000_000
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; one of all its words where they are fewer than `width`."""
-    words = Words(data, offsets)
-    n = max(0, len(words.hash) - width + 1)
-    whole = np.full(n, U64(width))
-    for i in range(width):
-        whole += words.hash[i : n + i] * _FACTORS[i]
-    whole = mix(whole)
     out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if b - a >= width:
-            out.append(np.unique(whole[a : b - width + 1]))
-        elif b > a:
-            few = np.array([b - a], dtype=U64)
-            for i in range(b - a):
-                few = few + words.hash[a + i : a + i + 1] * _FACTORS[i]
-            out.append(mix(few))
-        else:
-            out.append(whole[:0])
+    for own, places in chunks(data, offsets):
+        words = Words(own, places)
+        n = max(0, len(words.hash) - width + 1)
+        whole = np.full(n, U64(width))
+        for i in range(width):
+            whole += words.hash[i : n + i] * _FACTORS[i]
+        whole = mix(whole)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if b - a >= width:
+                out.append(np.unique(whole[a : b - width + 1]))
+            elif b > a:
+                few = np.array([b - a], dtype=U64)
+                for i in range(b - a):
+                    few = few + words.hash[a + i : a + i + 1] * _FACTORS[i]
+                out.append(mix(few))
+            else:
+                out.append(whole[:0])
     return out
 
 
@@ -102,8 +103,9 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc_id, n_shingles, node (digest of the shingle set, null if empty), regs."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(None)
         for part in parts:
-            for rows, data, offsets in batches(part, text, 4 << 20):
+            for rows, data, offsets in batches(part, text, 2 << 20):
                 sets = shingle_sets(data, offsets, width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 node, regs = [None] * len(sets), [None] * len(sets)
@@ -111,8 +113,9 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     for i, r in zip(full, registers([sets[i] for i in full]), strict=True):
                         node[i], regs[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), r.tobytes()
                 yield pa.RecordBatch.from_arrays([rows.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "node", "regs"])
+        release()
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, node binary, regs binary")
+    return small_batches(docs.select(key, text)).mapInArrow(run, "doc_id long, n_shingles long, node binary, regs binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytewise import HashIndex, Words, batches
+from lodestone.llm.bytewise import HashIndex, Words, batches, keep_only, release
+from lodestone.llm.shared import small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, Encoder] = {}
@@ -31,7 +32,7 @@ class Encoder:
     For vocabularies that lower-case and part tokens at white space: a text's ids are then those of its words in a row.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,6 +102,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    keep_only(_encoders)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -115,7 +117,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for part in parts:
-            for rows, data, offsets in batches(part, text, 2 << 20):
+            for rows, data, offsets in batches(part, text, 1 << 20):
                 keys = rows.column(key).to_pylist()
                 ids, sizes = own.encode(data, offsets)
                 out: list[tuple] = []
@@ -127,8 +129,9 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
-    return docs.select(key, text).mapInArrow(run, PIECES)
+    return small_batches(docs.select(key, text)).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -29,3 +29,11 @@ def checksum(column: str, modulus: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches hold few rows and bytes: long texts then need little memory at once."""
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return frame

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytewise import U64, batches, mix
-from lodestone.llm.shared import partitions
+from lodestone.llm.shared import partitions, small_batches
 
 K, S, ANCHORS = 12, 5, 48
 _BASE = [pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(S)]
@@ -175,4 +175,4 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     if whole.num_rows > 1:
                         yield compare(whole, data, offsets)
 
-    return in_order(docs, key, text).select(key, text, "_tail").mapInArrow(run, schema)
+    return small_batches(in_order(docs, key, text).select(key, text, "_tail")).mapInArrow(run, schema)
