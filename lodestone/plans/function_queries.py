@@ -105,7 +105,7 @@ def expected_score(spark, folder):
     return read_vectors(spark, folder).select("vec_id", F.round(texts.expected_score([F.col("v")[i] for i in range(6)]), 6).alias("score"))
 
 
-@register("x14_batch_scores", r"WITH n AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(source, ''), 'c'), lambda x: TRY_CAST(x AS INT)), lambda x: x BETWEEN 1 AND 6) AS k FROM documents) SELECT doc_id, coalesce(CAST(k[1] AS DOUBLE), 3.0) AS first, 3.0 AS second, CAST(2 AS INT) AS n FROM n")
+@register("x14_batch_scores", r"WITH n AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(source, ''), 'c'), lambda x: TRY_CAST(x AS INT)), lambda x: x BETWEEN 1 AND 6) AS k FROM documents) SELECT doc_id, coalesce(CAST(k[1] AS DOUBLE), 3.0) AS first, 3.0::DOUBLE AS second, CAST(2 AS INT) AS n FROM n")
 def batch_scores(spark, folder):
     scores = texts.batch_scores(F.split(F.coalesce("source", F.lit("")), "c"), F.lit(2))
     return table(spark, folder, "documents").select("doc_id", scores[0].alias("first"), scores[1].alias("second"), F.size(scores).alias("n"))
