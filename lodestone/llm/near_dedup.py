@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     label = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     labels = roots.join(label, "root").select("node", "least")
     # Copies of texts that are linked with no other text still share their node's least id.
-    named = nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left").select("node", F.coalesce("least", "own").alias("component"))
+    # Written, so that the last join reads two plain exchanges: only then can a node with very many copies be split.
+    named = cut(nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left").select("node", F.coalesce("least", "own").alias("component")))
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

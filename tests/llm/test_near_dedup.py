@@ -99,7 +99,7 @@ def test_estimates_follow_likeness():
     for share in (0.5, 0.85, 0.95):
         errors = []
         for _ in range(40):
-            pool = np.unique(rng.integers(0, 1 << 63, 3_000, dtype=np.uint64) * np.uint64(2))
+            pool = rng.permutation(np.unique(rng.integers(0, 1 << 64, 3_000, dtype=np.uint64)))
             common, rest = pool[: int(1_000 * share)], pool[1_000:]
             apart = (1_000 - len(common)) // 2
             a, b = np.sort(np.append(common, rest[:apart])), np.sort(np.append(common, rest[apart : 2 * apart]))

@@ -37,7 +37,7 @@ def test_edge_cases(spark):
     assert found(spark, rows) == plain(rows)
     assert found(spark, [(0, [1.0])]) == []
     assert found(spark, []) == []
-    assert found(spark, [(0, [1e15, 1e15]), (1, [3.0, 1.0]), (2, [1.0, 3.5])]) == plain([(0, [float(np.float32(1e15))] * 2), (1, [3.0, 1.0]), (2, [1.0, 3.5])])
+    assert found(spark, [(0, [1e12, 1e12]), (1, [3.0, 1.0]), (2, [1.0, 3.5])]) == plain([(0, [float(np.float32(1e12))] * 2), (1, [3.0, 1.0]), (2, [1.0, 3.5])])
 
 
 def test_copies_of_one_vector(spark):
