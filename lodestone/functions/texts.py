@@ -39,8 +39,7 @@ def keywords(x: Column) -> Column:
 
 def keyword_tokens(x: Column) -> Column:
     """Like keywords, with repeats."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
 def words(x: Column) -> Column:

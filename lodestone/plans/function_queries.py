@@ -69,7 +69,7 @@ _STOP = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
 @register("x8_keywords", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: w NOT IN ({_STOP}))) AS INT) AS n, list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: w NOT IN ({_STOP}))[1] AS first FROM documents")
 def keywords(spark, folder):
     found = texts.keyword_tokens(F.coalesce("text", F.lit("")))
-    return table(spark, folder, "documents").select("doc_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+    return table(spark, folder, "documents").select("doc_id", found.alias("k")).select("doc_id", F.size("k").alias("n"), F.get("k", F.lit(0)).alias("first"))
 
 
 @register("x8b_words", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9_]+')) AS INT) AS n FROM documents")
