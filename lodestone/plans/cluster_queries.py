@@ -244,3 +244,10 @@ def eligible_centroids(spark, folder):
     nodes, members = _tree(spark, folder)
     leaves = graph.walk(nodes).where("depth > 0").join(nodes.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
     return leaves.join(members.groupBy("node").agg(F.count("*").alias("n")).where("n >= 55"), "node").select("node")
+
+
+@register("c27_tree_state")
+def tree_state(spark, folder):
+    """The leaves that a grown tree holds at the end, with their members."""
+    tree = clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.1, scale=5.0), 200)
+    return spark.createDataFrame([(a.name, int(i), at) for a in tree.leaves for at, i in enumerate(a.ids)], "leaf string, vec_id long, at int")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import routing, selection
 from lodestone.plans.registry import register
-from lodestone.sources import files
+from lodestone.sources import files, paged
 from lodestone.sources.tables import CENTROIDS_SQL, SAMPLES_SQL, samples, scratch, table
 from lodestone.sources.tables import vectors as read_vectors
 
@@ -218,3 +218,17 @@ def state(spark, folder):
     path = scratch(spark)
     routing.centroids(read_vectors(spark, folder), "label", "v").select(F.col("label").alias("cap"), F.col("c").alias("g")).write.parquet(path)
     return spark.read.schema("cap int, g array<double>").parquet(path).select("cap", F.round(F.aggregate("g", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@register("s8_paged_rows", "SELECT CAST(i AS BIGINT) AS id, CAST(i * i % 97 AS BIGINT) AS x FROM range(250) t(i)")
+def paged_rows(spark, folder):
+    """A paged service, here one that computes its rows and fails at first."""
+    failed: set[int] = set()
+
+    def fetch(offset, length):
+        if offset % 3 == 0 and offset not in failed:
+            failed.add(offset)
+            raise TimeoutError
+        return [{"id": i, "x": i * i % 97} for i in range(offset, offset + length)]
+
+    return paged.read_pages(spark, fetch, 250, 40, "id long, x long", pause=0.01)
