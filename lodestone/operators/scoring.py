@@ -42,7 +42,7 @@ def active(scores: Column, routed: Column, mode: str, most: int = 5) -> Column:
     """Capabilities in use: of scores (array of cap, val) by value, of the routing, or both; at most `most`."""
     by_value = F.transform(F.array_sort(F.transform(scores, lambda s: F.struct((-s["val"]).alias("m"), s["cap"].alias("cap")))), lambda s: s["cap"])
     known = F.filter(routed, lambda c: c >= 0)
-    chosen = {"srm_nonzero": by_value, "topk": known}.get(mode, F.array_distinct(F.concat(by_value, known)))
+    chosen = {"scored": by_value, "topk": known}.get(mode, F.array_distinct(F.concat(by_value, known)))
     return F.slice(chosen, 1, most) if most > 0 else chosen
 
 

@@ -55,7 +55,7 @@ def deviation_gain(spark, folder):
 @register("u2c_active_set", f"WITH {_ROUTE} SELECT vec_id AS id, list(capability ORDER BY rank)[1:2] AS active FROM routed GROUP BY vec_id")
 def active_set(spark, folder):
     r = routed(spark, folder).groupBy(F.col("vec_id").alias("id")).agg(F.collect_list(F.struct(F.col("capability").alias("cap"), F.col("weight").alias("val"))).alias("s"), F.collect_list("capability").alias("k"))
-    return r.select("id", scoring.active(F.col("s"), F.col("k"), "srm_nonzero", 2).alias("active"))
+    return r.select("id", scoring.active(F.col("s"), F.col("k"), "scored", 2).alias("active"))
 
 
 @register("u3_delta", f"WITH {_ROUTE}, d AS (SELECT doc_id, sum((quality + 1) * (toxic + 2)) AS delta FROM labels GROUP BY doc_id) SELECT vec_id AS id, capability AS cap, round(delta * w, 5) AS val FROM routed JOIN d ON d.doc_id = vec_id")
