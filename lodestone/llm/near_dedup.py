@@ -203,15 +203,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the component's least node.
 
     Large-star and small-star steps take turns until nothing changes; each is a minimum by node, found with partial
-    aggregation, and an equi-join, so that a node with very many links is never gathered in one task. Every round
-    starts from a table written to the shared folder.
+    aggregation, and an equi-join, so that a node with very many links is never gathered in one task: the minima are
+    dealt anew before the join, whose sides are then plain exchanges that can be split. Every round starts from a table
+    written to the shared folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = cut(small)
         if not new.join(edges, ["u", "v"], "left_anti").take(1) and not edges.join(new, ["u", "v"], "left_anti").take(1):
