@@ -30,14 +30,13 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
     """0 where either norm is at most `least`."""
-    na, nb = norm(a), norm(b)
-    return F.when((na <= least) | (nb <= least), 0.0).otherwise(dot(a, b) / (na * nb))
+    both = F.struct(norm(a).alias("a"), norm(b).alias("b"), dot(a, b).alias("dot"))
+    return let(both, lambda n: F.when((n["a"] <= least) | (n["b"] <= least), 0.0).otherwise(n["dot"] / (n["a"] * n["b"])))
 
 
 def normalized(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: v / n)).otherwise(a)
+    """Unit length; a zero vector stays. The norm is computed once, not once a component."""
+    return let(a, lambda x: let(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -46,14 +45,21 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """Shifted by the maximum; an empty array stays empty."""
-    raised = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / temperature))
-    return F.transform(raised, lambda v: v / total(raised))
+
+    def raised(y: Column) -> Column:
+        return let(F.array_max(y), lambda m: F.transform(y, lambda v: F.exp((v - m) / temperature)))
+
+    return let(let(x, raised), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def sigmoid(x: Column) -> Column:
     """Stable on both sides: exp is taken of a value that is not positive."""
-    small = F.exp(-F.abs(x))
-    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+
+    def of(y: Column) -> Column:
+        small = F.exp(-F.abs(y))
+        return F.when(y >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+
+    return let(x, of)
 
 
 def hash_embedding(text: Column, width: int = 384) -> Column:

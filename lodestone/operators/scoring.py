@@ -48,9 +48,11 @@ def active(scores: Column, routed: Column, mode: str, most: int = 5) -> Column:
 
 def shares(weights: Column, uniform: bool = False) -> Column:
     """Weights clipped at 0 with sum 1; equal ones if asked for or if nothing is positive."""
-    clipped = F.transform(weights, lambda w: F.greatest(F.lit(0.0), w))
     equal = F.transform(weights, lambda w: 1.0 / F.size(weights))
-    return equal if uniform else F.when(vectors.total(clipped) > 0, F.transform(clipped, lambda w: w / vectors.total(clipped))).otherwise(equal)
+    if uniform:
+        return equal
+    clipped = F.transform(weights, lambda w: F.greatest(F.lit(0.0), w))
+    return vectors.let(clipped, lambda c: vectors.let(vectors.total(c), lambda t: F.when(t > 0, F.transform(c, lambda w: w / t)).otherwise(equal)))
 
 
 def spread(scalar: Column, weights: Column, uniform: bool = False) -> Column:

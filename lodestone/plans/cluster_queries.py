@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import texts, vectors
-from lodestone.operators import clusters, graph, ingest, routing
+from lodestone.functions import vectors
+from lodestone.operators import clusters, graph, routing
 from lodestone.plans.registry import register
 from lodestone.plans.relational_queries import _DIST, _distances
 from lodestone.sources.tables import CENTROIDS_SQL, table

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import texts, vectors
-from lodestone.operators import ingest, routing
+from lodestone.functions import vectors
+from lodestone.operators import routing
 from lodestone.plans.registry import register
 from lodestone.sources.tables import CENTROIDS_SQL, SAMPLES_SQL, VECTORS_SQL, samples, table
 from lodestone.sources.tables import vectors as read_vectors
