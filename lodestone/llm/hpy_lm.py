@@ -139,13 +139,13 @@ def _shards(words: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _order(block: _Block, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each shard: the block's words and pairs that it holds, in a fixed order."""
+    """For each shard that holds any of the block's words: these words and their pairs, in a fixed order."""
     own = _shards(block.known, shards)
     of_pair = own[block.pair_word]
     words, pair = np.argsort(own, kind="stable"), np.argsort(of_pair, kind="stable")
-    w, p = np.searchsorted(own[words], np.arange(shards + 1)), np.searchsorted(of_pair[pair], np.arange(shards + 1))
-    for s in range(shards):
-        yield s, words[w[s] : w[s + 1]], pair[p[s] : p[s + 1]]
+    own, of_pair = own[words], of_pair[pair]
+    for s in np.unique(own).tolist():
+        yield s, words[np.searchsorted(own, s) : np.searchsorted(own, s, side="right")], pair[np.searchsorted(of_pair, s) : np.searchsorted(of_pair, s, side="right")]
 
 
 class _Shard:

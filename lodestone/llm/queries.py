@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import hpy_lm, language_id, mixing, near_dedup, packing, secret_scan, syncmers, topk_search, url_filter, warc
-from lodestone.llm.shared import checksum, cut
+from lodestone.llm.shared import checksum, cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learned from three quarters of the labelled ones."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held_out = checksum("doc_id", 4) == 2
     model = language_id.fit(docs, ~held_out, "text", "lang", "doc_id")
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -61,7 +65,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces of at most 4096 tokens, packed into sequences of 4096."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
 
 
@@ -112,13 +116,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of every document under the model of nine tenths of them."""
-    scored = hpy_lm.score(_table(spark, sf_dir, "documents"), checksum("doc_id", 10) != 0)
+    scored = hpy_lm.score(_documents(spark, sf_dir), checksum("doc_id", 10) != 0)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near-duplicates of every document: five words, likeness of at least 0.85."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
 _QUERIES: dict[str, Query] = {

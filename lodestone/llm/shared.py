@@ -31,6 +31,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores, as one small file gives, dealt over all of them; larger
+    inputs have more and stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_batches(frame: DataFrame) -> DataFrame:
     """The frame, in a session whose Arrow batches hold few rows and bytes: long texts then need little memory at once."""
     conf = frame.sparkSession.conf
