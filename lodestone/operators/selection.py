@@ -91,31 +91,69 @@ def mig_greedy(rows: DataFrame, k: int, page: int = 2_000, a: float = 1.0, b: fl
     return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", gain, page)
 
 
-def diverse(rows: DataFrame, k: int) -> DataFrame:
+#: Candidate rows of diverse sampling that may come to the driver.
+MOST_CANDIDATES = 200_000
+
+
+def diverse(rows: DataFrame, k: int, most: int = MOST_CANDIDATES) -> DataFrame:
     """(position, chosen): complexity-first diverse sampling of rows with tags.
 
     Rows are ordered by number of tags, most first, then position. A round takes every row that adds a tag to those of
     the round. A row does so exactly if it is the first of those left with one of its tags: an earlier row with that tag
     would have added it. So a round is one minimum for each tag, and rounds go on until k rows are chosen; rows without
     tags fill up. chosen counts from 1.
+
+    No row that k others precede with each of its tags can be chosen. The first k rows of every tag, found with partial
+    limits, are therefore all that matters; if they are few, the rounds run over them on the driver, else as aggregates.
     """
     order = F.struct((-F.size("tags")).alias("n"), F.col("position"))
     left = cut(rows.select("position", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).withColumn("o", order))
+    each = left.select("position", "o", F.explode(F.array_distinct("tags")).alias("tag"))
+    first = cut(top_of_each(each, "tag", max(1, k), F.col("o")).select("o", "tag"))
+    if first.count() <= most:
+        chosen = _rounds([((r["o"]["n"], r["o"]["position"]), r["tag"]) for r in first.collect()], k)
+        taken = left.sparkSession.createDataFrame([(p, i + 1) for i, p in enumerate(chosen)], f"position {left.schema['position'].dataType.simpleString()}, chosen int")
+        return _filled(left, taken, len(chosen), k)
     taken, before = None, 0
     while before < k:
-        firsts = left.select("o", F.explode("tags").alias("tag")).groupBy("tag").agg(F.min("o").alias("o")).select("o").distinct()
-        picked = cut(firsts)
+        picked = cut(left.select("o", F.explode("tags").alias("tag")).groupBy("tag").agg(F.min("o").alias("o")).select("o").distinct())
         n = picked.count()
         if not n:
-            picked = left.select("o")
+            break
         at = F.row_number().over(Window.orderBy("o")) + before
         part = picked.orderBy("o").limit(k - before).select(F.col("o.position").alias("position"), at.cast("int").alias("chosen"))
         taken = part if taken is None else taken.unionByName(part)
-        if not n:
-            break
-        before += n
+        before += min(n, k - before)
         left = cut(left.join(picked, "o", "left_anti"))
-    return taken if taken is not None else left.select("position", F.lit(0).alias("chosen")).limit(0)
+    return _filled(left, taken, before, k) if taken is not None else _filled(left, left.select("position", F.lit(0).alias("chosen")).limit(0), 0, k)
+
+
+def _rounds(tagged: list[tuple], k: int) -> list:
+    """Positions in the order in which rounds choose them: each takes the first row left of every tag."""
+    lists: dict[str, list] = {}
+    for o, tag in sorted(tagged):
+        lists.setdefault(tag, []).append(o)
+    out, gone = [], set()
+    while len(out) < k:
+        for tag in list(lists):
+            while lists[tag] and lists[tag][0] in gone:
+                lists[tag].pop(0)
+            if not lists[tag]:
+                del lists[tag]
+        if not lists:
+            break
+        picked = sorted({own[0] for own in lists.values()})[: k - len(out)]
+        gone.update(picked)
+        out += [position for _, position in picked]
+    return out
+
+
+def _filled(left: DataFrame, taken: DataFrame, n: int, k: int) -> DataFrame:
+    """Rows that are left, in order, up to k."""
+    if n >= k:
+        return taken
+    rest = left.join(F.broadcast(taken.select("position")), "position", "left_anti").orderBy("o").limit(k - n)
+    return taken.unionByName(rest.select("position", (F.row_number().over(Window.orderBy("o")) + n).cast("int").alias("chosen")))
 
 
 def quotas(sizes: DataFrame, group: str, size: str, budget: int) -> DataFrame:

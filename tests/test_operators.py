@@ -62,11 +62,12 @@ def plain_diverse(tags, k):
     return out + left[: k - len(out)]
 
 
-def test_diverse_rounds_match_a_scan(spark):
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_diverse_rounds_match_a_scan(spark, most):
     rng = random.Random(5)
     tags = {i: sorted({str(rng.randrange(8)) for _ in range(rng.randrange(5))}) for i in range(25)}
     rows = spark.createDataFrame(list(tags.items()), "position long, tags array<string>")
-    assert [r["position"] for r in selection.diverse(rows, 20).orderBy("chosen").collect()] == plain_diverse(tags, 20)
+    assert [r["position"] for r in selection.diverse(rows, 20, most).orderBy("chosen").collect()] == plain_diverse(tags, 20)
 
 
 @pytest.mark.parametrize(("sizes", "budget", "expected"), [([5, 3, 2], 7, [4, 2, 1]), ([1, 1, 8], 5, [1, 0, 4]), ([2, 9], 11, [2, 9]), ([3], 0, [0])])
