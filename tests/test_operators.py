@@ -190,3 +190,52 @@ def test_keep_mask_never_empties_a_batch(spark):
     rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "b", 5.0)], "id long, g string, s double")
     kept = scoring.keep_mask(rows, "g", "s", "id", threshold=0.9).where("keep").collect()
     assert sorted(r["id"] for r in kept) == [1, 3]
+
+
+def test_growing_tree_keeps_every_sample():
+    rng = np.random.default_rng(4)
+    tree = clusters.GrowingTree(0.8, size=10, scale=50.0, patience=15)
+    for i, x in enumerate(rng.normal(size=(120, 6))):
+        tree.add(i, x / np.linalg.norm(x))
+    assert sorted(i for a in tree.leaves for i in a.ids) == list(range(120))
+    assert [d[0] for d in tree.decisions if d[1] in ("add", "create")] == list(range(120))
+    tree.rebalance()
+    assert sorted(i for a in tree.leaves for i in a.ids) == list(range(120))
+    assert all(a.ids for a in tree.leaves)
+
+
+def test_two_means_never_leaves_a_side_empty():
+    for x in (np.zeros((4, 2)), np.array([[0.0, 0], [0, 0], [5, 5]]), np.random.default_rng(1).normal(size=(30, 3))):
+        assert set(clusters.two_means(x).tolist()) == {0, 1}
+
+
+@pytest.mark.parametrize("linkage", ["single", "complete", "average", "ward"])
+def test_agglomeration(linkage):
+    x = np.array([[0.0, 0], [0, 1], [10, 0], [10, 1], [50, 50]])
+    assert clusters.agglomerate(x, linkage, k=3) == [0, 0, 1, 1, 2]
+    assert clusters.agglomerate(x, linkage, threshold=3.0) == [0, 0, 1, 1, 2]
+
+
+def test_compact_names():
+    assert clusters.compact_name("Text Summary Of News", "text summary generation") == "Of News"
+    assert clusters.compact_name("Text News", "Text Summary") == "Text News"
+    assert clusters.compact_name("Text Summary", "Text Summary") == "Text Summary"
+
+
+def test_vectors_of_zeros(spark):
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    assert one(spark, vectors.cosine(zero, zero)) == 0
+    assert one(spark, vectors.normalized(zero)) == [0, 0]
+    assert one(spark, vectors.softmax(F.array().cast("array<double>"))) == []
+    assert one(spark, vectors.doubles(F.array(F.lit(float("nan")), F.lit(float("inf")), F.lit(1.5)))) == [0, 0, 1.5]
+    assert one(spark, vectors.sigmoid(F.lit(-800.0))) == 0
+
+
+def test_token_windows(spark):
+    tokens = lambda *x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
+    assert one(spark, models.loss_window(tokens("a", "b", "c"), tokens("x", "y"), 4, F.lit("e"))) == ["b", "c", "x", "y"]
+    assert one(spark, models.loss_window(tokens("a", "b"), tokens(), 4, F.lit("e"))) == ["a", "b", "e"]
+    assert one(spark, models.loss_window(tokens("a"), tokens("x"), 2, F.lit("e"))) == ["x", "e"]
+    sizes = F.array(*[F.lit(n).cast("long") for n in (5, 3, 4)])
+    assert one(spark, models.demos_in_budget(tokens("p", "q", "r"), sizes, F.lit(2), 9)) == ["q", "r"]
+    assert one(spark, models.demos_in_budget(tokens("p", "q", "r"), sizes, F.lit(20), 9)) == ["r"]
