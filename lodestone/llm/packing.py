@@ -32,7 +32,7 @@ class Encoder:
     For vocabularies that lower-case and part tokens at white space: a text's ids are then those of its words in a row.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
