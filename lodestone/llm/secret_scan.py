@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import cut
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -124,7 +126,12 @@ def fit(docs: DataFrame, text: str = "text", level: float = 0.01) -> dict[tuple[
     The Benjamini-Hochberg rule at `level`, over counts by bucket: encodings x classes x buckets rows at most reach the
     driver. The threshold is never below `level` itself, so that a class with few runs is not lenient.
     """
-    counts = candidates(docs, text).select(F.explode("_runs").alias("r")).groupBy("r.encoding", "r.length_class", _bucket(F.col("r.p")).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    return thresholds(candidates(docs, text), level)
+
+
+def thresholds(found: DataFrame, level: float = 0.01) -> dict[tuple[str, int], int]:
+    """The same from rows that have their candidates."""
+    counts = found.select(F.explode("_runs").alias("r")).groupBy("r.encoding", "r.length_class", _bucket(F.col("r.p")).alias("bucket")).agg(F.count("*").alias("n")).collect()
     out = {}
     for key in {(r["encoding"], r["length_class"]) for r in counts}:
         own = {r["bucket"]: r["n"] for r in counts if (r["encoding"], r["length_class"]) == key}
@@ -144,7 +151,11 @@ def scan(docs: DataFrame, limits: dict[tuple[str, int], int], text: str = "text"
 
     A random run inside a base span is not reported again. A null text is empty and has no span.
     """
-    found = candidates(docs, text)
+    return marked(candidates(docs, text), limits)
+
+
+def marked(found: DataFrame, limits: dict[tuple[str, int], int]) -> DataFrame:
+    """The same from rows that have their candidates."""
     if limits:
         table = F.create_map(*[F.lit(x) for (encoding, size), bucket in sorted(limits.items()) for x in (f"{encoding}/{size}", bucket)])
         limit = lambda r: F.coalesce(F.element_at(table, F.concat_ws("/", r["encoding"], r["length_class"].cast("string"))), F.lit(_BUCKETS + 1))
@@ -163,8 +174,14 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for every row: the numbers of base spans by kind, their digest, and all spans. Repeated rows repeat."""
-    found = scan(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), fit(docs, text), "text")
+    """A row for every row: the numbers of base spans by kind, their digest, and all spans. Repeated rows repeat.
+
+    Candidates are small beside the texts: they are written once, and both the thresholds and the result read them.
+    """
+    found = candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    places = F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end")))
+    own = cut(found.select("doc_id", places.alias("_base"), "_runs"))  # places alone: no secret is written
+    found = marked(own, thresholds(own))
     base = F.filter("_spans", lambda s: s["rank"] < 3)
     of = lambda kind: F.size(F.filter("_spans", lambda s: s["rank"] == KINDS.index(kind))).cast("long")
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
