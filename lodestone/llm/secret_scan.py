@@ -124,7 +124,7 @@ def fit(docs: DataFrame, text: str = "text", level: float = 0.01) -> dict[tuple[
     """For each encoding and length class, the first bucket of p-values that counts as not random.
 
     The Benjamini-Hochberg rule at `level`, over counts by bucket: encodings x classes x buckets rows at most reach the
-    driver. The threshold is never below `level` itself, so that a class with few runs is not lenient.
+    driver. A class whose runs the rule rejects nowhere gets the bucket past the last: all its runs count as random.
     """
     return thresholds(candidates(docs, text), level)
 
@@ -136,12 +136,11 @@ def thresholds(found: DataFrame, level: float = 0.01) -> dict[tuple[str, int], i
     for key in {(r["encoding"], r["length_class"]) for r in counts}:
         own = {r["bucket"]: r["n"] for r in counts if (r["encoding"], r["length_class"]) == key}
         total, seen = sum(own.values()), 0
-        first = next(b for b in range(_BUCKETS + 1) if 2 ** (-b / 2) <= level)
-        best = first
+        best = _BUCKETS + 1  # nothing is rejected
         for bucket in range(_BUCKETS, -1, -1):
             seen += own.get(bucket, 0)
             if seen and 2 ** (-bucket / 2) <= level * seen / total:
-                best = min(best, bucket)
+                best = bucket
         out[key] = best
     return out
 

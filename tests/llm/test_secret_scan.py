@@ -54,6 +54,16 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert not any(":50:" in spans[i] for i in range(60))
 
 
+def test_classes_get_their_own_thresholds(spark):
+    """Benjamini-Hochberg: a p-value of 0.001 is rejected among many of its kind, but not alone among a hundred others."""
+    ps = {("hex", 0): [0.001] * 50 + [0.5] * 50, ("base62", 2): [0.001] + [0.5] * 99}
+    rows = [([(0, 30, encoding, size, p)],) for (encoding, size), own in ps.items() for p in own]
+    runs = spark.createDataFrame(rows, "_runs array<struct<start:int,end:int,encoding:string,length_class:int,p:double>>")
+    assert secret_scan.thresholds(runs) == {("hex", 0): 16, ("base62", 2): 65}
+    found = secret_scan.marked(runs.selectExpr(f"CAST(array() AS {secret_scan._SPANS}) AS _base", "_runs"), secret_scan.thresholds(runs))
+    assert found.where("size(_spans) > 0").count() == 50 + 100
+
+
 def test_redaction(spark):
     rows = [(1, "a token = abcdefgh b"), (2, None), (3, "clean é"), (4, "token=" + "0123456789abcdef" * 2), (5, "")]
     found = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
