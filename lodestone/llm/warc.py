@@ -21,7 +21,8 @@ from lodestone.llm.shared import partitions, shared_folder
 MAGIC = b"WARC/1.1\r\n"
 #: What the text writer puts after a row is what ends a record.
 _END = "\r\n\r\n"
-_HEADER_MOST = 1 << 16
+#: Bytes first read beyond a split for the end of a header; each further read is twice as long.
+_BEYOND = 1 << 16
 #: Revisits whose ids may be broadcast to the writer; beyond it the pages are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -86,10 +87,26 @@ def _parse(head: bytes) -> dict[str, str]:
     return {name.strip().lower().decode(): value.strip().decode("utf-8", "replace") for name, _, value in (x.partition(b":") for x in lines)}
 
 
+def _length_line(head: bytes) -> tuple[int, int]:
+    """Where the last Content-Length line of these header lines begins, and its number; (-1, 0) where there is none."""
+    end = len(head)
+    while end > 0:
+        begin = head.rfind(b"\r\n", 0, end) + 2
+        if begin < 2:
+            break
+        name, _, value = head[begin:end].partition(b":")
+        if name.strip().lower() == b"content-length":
+            value = value.strip()
+            return (begin, int(value)) if value.isdigit() else (-1, 0)
+        end = begin - 2
+    return -1, 0
+
+
 def candidates(spark: SparkSession, folder: str, split: int = 8 << 20) -> DataFrame:
-    """(path, at, body, size, next): every place that looks like a record, with its successor's place.
+    """(path, at, body, size, next): every place that looks like a record, with its successor's place; and for each file
+    its length as a place without a successor, where the chain of its records has to end.
 
-    One task reads one split and, for headers that begin in it, what they need beyond it.
+    One task reads one split and, for headers that begin in it, what they need beyond it. Headers may be of any length.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
     splits = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))))
@@ -97,19 +114,23 @@ def candidates(spark: SparkSession, folder: str, split: int = 8 << 20) -> DataFr
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, length, start in zip(part["path"], part["length"], part["start"], strict=True):
-                out = []
+                out = [(path, length, -1, -1, -1)] if start == 0 else []
                 with _open(path) as file:
                     data = file.read_at(min(length - start, split + len(MAGIC) - 1), start)
-                    at = data.find(MAGIC)
+                    at, end, more = data.find(MAGIC), -1, _BEYOND
                     while 0 <= at < split:
-                        head = data[at : at + _HEADER_MOST]
-                        end = head.find(b"\r\n\r\n")
-                        if end < 0:
-                            head = file.read_at(min(_HEADER_MOST, length - start - at), start + at)
-                            end = head.find(b"\r\n\r\n")
-                        size = _parse(head[:end]).get("content-length", "") if end > 0 else ""
-                        if size.isdigit() and (after := start + at + end + 4 + int(size) + 4) <= length:
-                            out.append((path, start + at, start + at + end + 4, int(size), after))
+                        if end < at:  # else the blank line after the last place is the first one after this place too
+                            end = data.find(b"\r\n\r\n", at)
+                            while end < 0 and start + len(data) < length:
+                                seen = len(data)
+                                data += file.read_at(min(more, length - start - seen), start + seen)
+                                end, more = data.find(b"\r\n\r\n", max(at, seen - 3)), 2 * more
+                            if end < 0:
+                                break  # nor has any later place one
+                            line, size = _length_line(data[at:end])
+                            line += at if line >= 0 else 0
+                        if line >= at + len(MAGIC) and (after := start + end + 4 + size + 4) <= length:
+                            out.append((path, start + at, start + end + 4, size, after))
                         at = data.find(MAGIC, at + 1)
                 yield pd.DataFrame(out, columns=["path", "at", "body", "size", "next"])
 
@@ -137,13 +158,16 @@ def records(spark: SparkSession, folder: str, split: int = 8 << 20, with_payload
     """The records of the archives in the folder: id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     Size and digest of a response are those of the payload read; a record whose payload has another digest than its
-    header says is an error. For a revisit they are the header's, and the payload is null. Places and sizes of one
+    header says is an error, and so is a file whose records do not end at its length. For a revisit they are the header's, and the payload is null. Places and sizes of one
     file's candidates meet in one task, some bytes for each record; payloads are read by splits of the verified places.
     """
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at", ignore_index=True)
-        return frame[reachable(frame["at"].to_numpy(), frame["next"].to_numpy())]
+        seen = reachable(frame["at"].to_numpy(), frame["next"].to_numpy())
+        if not seen[-1]:
+            raise ValueError(f"{frame['path'].iloc[0]}: the records end at {frame['next'][seen].max()}, not at the file's end")
+        return frame[seen][:-1]
 
     kept = candidates(spark, folder, split).groupBy("path").applyInPandas(chain, "path string, at long, body long, size long, next long")
     schema = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload

@@ -81,3 +81,26 @@ def test_a_payload_that_changed_is_an_error(spark, tmp_path):
     part.write_bytes(data)
     with pytest.raises(Exception, match="not the one that was written"):
         warc.records(spark, folder).collect()
+
+
+@pytest.mark.parametrize("split", [512, 8 << 20])
+def test_headers_of_any_length(spark, split):
+    """A url beyond 65,536 bytes loses neither its record nor those after it."""
+    rows = [(1, "a", "one"), (2, "http://u/" + "x" * 300_000, EVIL), (3, "b", "WARC/1.1\r\n" * 3_000), (4, "c", "four")]
+    folder = shared_folder(spark)
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    found = sorted((r["id"], r["url"], bytes(r["payload"]).decode()) for r in warc.records(spark, folder, split=split).collect())
+    assert found == rows
+
+
+@pytest.mark.parametrize("keep", [-3, 5])
+def test_a_file_that_is_cut_short_is_an_error(spark, tmp_path, keep):
+    folder = f"{tmp_path}/a"
+    warc.write(spark.createDataFrame([(1, "u", "one"), (2, "v", "two")], "page_id long, url string, html string").coalesce(1), folder)
+    part = next(p for p in (tmp_path / "a").iterdir() if p.name.startswith("part"))
+    data = part.read_bytes()[:keep]
+    for p in (tmp_path / "a").iterdir():
+        p.unlink()
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="not at the file's end"):
+        warc.records(spark, folder).collect()
