@@ -1,12 +1,13 @@
 """A hierarchical Pitman-Yor language model, learned and applied block by block.
 
-Every frequent word that comes before others is a restaurant of its own; all of them share one parent, the restaurant of
-single words, whose base measure is uniform over the known words and one unknown word. A word's customers and tables in
-all restaurants lie in one shard (shards are dealt by the word's hash), where Gibbs sampling redraws the number of tables
-of each dish from its exact conditional given the rest. Predictive probabilities are averaged over the samples.
+Every word that comes before others is a restaurant of its own; all of them share one parent, the restaurant of single
+words, whose base measure is uniform over the known words and one unknown word. A word's customers and tables in all
+restaurants lie in one shard (shards are dealt by the word's hash), where Gibbs sampling redraws the number of tables of
+each dish from its exact conditional given the rest. Predictive probabilities are averaged over the samples.
 
 Texts are dealt into blocks. A block sends each shard the n-grams it needs with their training counts, as one binary
-row, and gets back their probabilities in the same order: no row for each n-gram is ever shuffled.
+row, and gets back their probabilities in the same order: no row for each n-gram is ever shuffled. A restaurant's totals
+over all shards are added up in the shard of its word, where its customers are known: they are that word's occurrences.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytewise import U64, Words, batches, chunks, mix, text_buffers
+from lodestone.llm.bytewise import U64, Words, batches, chunks, mix, release, text_buffers
 from lodestone.llm.shared import cut, small_batches
 
 #: Discounts and strengths of the restaurants of contexts and of their parent.
@@ -109,18 +110,16 @@ def contexts_of(docs: DataFrame, text: str, most: int, share: float) -> list[int
 
 
 class _Block:
-    """The distinct n-grams of a block's texts: single words, and pairs whose first word is a context."""
+    """The distinct n-grams of a block's texts: single words, and pairs whose first word is a context (all words if None)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray | None):
         self.words, before, self.first = tokens(data, offsets)
-        rank = np.searchsorted(contexts, before)
-        rank[rank == len(contexts)] = 0
-        self.context = np.where(contexts[rank] == before, rank, -1) if len(contexts) else np.full(len(before), -1)
         self.known, self.place = np.unique(self.words, return_inverse=True)
-        paired = np.flatnonzero(self.context >= 0)
-        self.paired = paired
-        key = self.context[paired].astype(np.int64) * len(self.known) + self.place[paired]
-        keys, self.pair_place = np.unique(key, return_inverse=True)
+        follows = np.ones(len(before), dtype=bool) if contexts is None else np.isin(before, contexts)
+        follows[self.first[:-1]] = False
+        self.paired = paired = np.flatnonzero(follows)
+        self.context = self.place[paired - 1]
+        keys, self.pair_place = np.unique(self.context * len(self.known) + self.place[paired], return_inverse=True)
         self.pair_context, self.pair_word = keys // max(1, len(self.known)), keys % max(1, len(self.known))
 
     def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +129,22 @@ class _Block:
         return words, np.bincount(self.pair_place[teaches[self.paired]], minlength=len(self.pair_context))
 
 
-def _blob(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _pack(*columns: np.ndarray) -> bytes:
+    """The columns' bytes, first bytes first, compressed."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else raw
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending hashes as differences, whose first bytes are few; np.cumsum gives them back."""
+    return np.diff(ascending, prepend=U64(0))
+
+
+def _unpack(data: bytes, *columns: tuple[type, int]) -> list[np.ndarray]:
+    sizes = [np.dtype(kind).itemsize * n for kind, n in columns]
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=sum(sizes), codec="zstd", asbytes=True) if data else data, dtype=np.uint8)
+    ends = np.cumsum(sizes)
+    return [np.ascontiguousarray(raw[e - size : e].reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, dtype=kind) for (kind, n), size, e in zip(columns, sizes, ends, strict=True)]
 
 
 def _shards(words: np.ndarray, shards: int) -> np.ndarray:
@@ -156,18 +169,21 @@ class _Shard:
         self.count, self.contexts, self.pair_word, self.pair_count = count, contexts, pair_word, pair_count
         self.direct = count - np.bincount(pair_word, weights=pair_count, minlength=len(words)).astype(np.int64)
 
-    def sample(self, totals: dict, sweeps: int, burn_in: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def sample(self, kinds: np.ndarray, totals: dict, sweeps: int, burn_in: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
         """Averages of (customers - discount * tables) in the parent for each word, and in its context for each pair;
-        with them the averages of tables that the parent's base and each context hold, and the parent's customers."""
+        with them the averages of tables that each context and the parent's base hold, and the parent's customers.
+
+        kinds: the kinds of dishes of each context, over all shards.
+        """
         rng = np.random.default_rng(seed)
-        n, customers, kinds = totals["vocabulary"], totals["customers"], totals["kinds"]
+        n = totals["vocabulary"]
         has, learned = self.pair_count > 0, self.count > 0
         context = self.contexts
         # Start with one table for each kind of dish; restaurants' totals follow from this shard's share of their kinds.
         tables = has.astype(np.int64)
         base_tables = learned.astype(np.int64)
         own_kinds = np.maximum(1, np.bincount(context[has], minlength=len(kinds)))
-        all_kinds = max(1, int(learned.sum()))
+        all_kinds, own_pairs = max(1, int(learned.sum())), max(1, int(has.sum()))
         d1, d0 = DISCOUNT
         s1, s0 = STRENGTH
         word_sum, pair_sum, taken = np.zeros(len(self.count)), np.zeros(len(context)), 0
@@ -177,7 +193,7 @@ class _Shard:
             all_tables = kinds * (per_context / own_kinds)  # of each context, over all shards
             served = self.direct + np.bincount(self.pair_word, weights=tables, minlength=len(self.count)).astype(np.int64)
             base_all = n * (base_tables.sum() / all_kinds)
-            served_all = totals["direct"] + all_tables.sum()
+            served_all = totals["direct"] + totals["pairs"] * (tables.sum() / own_pairs)
             parent = (served - d0 * base_tables + (s0 + d0 * base_all) / (n + 1)) / (s0 + served_all)
             at = np.flatnonzero(has)
             weight = (s1 + d1 * all_tables[context[at]]) * parent[self.pair_word[at]]
@@ -197,101 +213,150 @@ class _Shard:
         return word_sum / taken, pair_sum / taken, table_sum / taken, base_sum / taken, served_sum / taken
 
 
-def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", contexts: int = 64, sweeps: int = 12, burn_in: int = 4, rows_a_block: int = 4_000, seed: int = 11) -> DataFrame:
+def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", contexts: int | None = None, sweeps: int = 12, burn_in: int = 4, rows_a_block: int = 4_000, seed: int = 11) -> DataFrame:
     """Scores every text under the model learned from the rows where `training` holds.
 
     A null text is empty: its only token is its end. base_score is the additive-smoothing log10 probability by counts
     of single words, score the model's. Without any training row every word is unknown and both take V = N = 0.
-    Repeated rows count as often as they come. Rows are dealt into blocks by their id and text.
+    Repeated rows count as often as they come. Rows are dealt into blocks by their id and text. Every word is a context,
+    unless `contexts` says how many of the most frequent ones are.
     """
     spark = docs.sparkSession
     rows = docs.count()
     blocks = max(1, round(rows / rows_a_block))
     shards = blocks
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    order = np.sort(np.array(contexts_of(source.where("training"), "text", contexts, 1 / 1024), dtype=np.int64).view(U64))
+    order = None if contexts is None else np.sort(np.array(contexts_of(source.where("training"), "text", contexts, 1 / 1024), dtype=np.int64).view(U64))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
 
     # A block's n-grams are sorted, so that both passes find the same ones in the same order however its rows come.
     def read(frame: pd.DataFrame) -> tuple[_Block, np.ndarray]:
+        release()
         data, offsets = text_buffers(pa.array(frame["text"], pa.large_string()))
         return _Block(data, offsets, order), frame["training"].to_numpy(dtype=bool)
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         block, teaches = read(frame)
         words, pair = block.counts(teaches)
-        out = [(int(frame["block"].iloc[0]), s, len(w), len(p), _blob(block.known[w], words[w].astype(np.int64), block.pair_context[p].astype(np.int32), _local(block, w, p), pair[p].astype(np.int64))) for s, w, p in _order(block, shards)]
-        return pd.DataFrame(out, columns=["block", "shard", "words", "pairs", "data"])
+        out = []
+        for s, w, p in _order(block, shards):
+            before, place = np.unique(block.pair_context[p], return_inverse=True)
+            own = _pack(np.diff(place, prepend=0).astype(np.int32), _local(block, w, p), pair[p].astype(np.int64), _steps(block.known[before]))
+            out.append((int(frame["block"].iloc[0]), s, len(w), len(before), len(p), _pack(_steps(block.known[w]), words[w].astype(np.int64)), own))
+        return pd.DataFrame(out, columns=["block", "shard", "words", "contexts", "pairs", "word_data", "pair_data"])
 
-    asked = cut(dealt.groupBy("block").applyInPandas(ask, "block int, shard int, words int, pairs int, data binary"))
+    asked = cut(dealt.groupBy("block").applyInPandas(ask, "block int, shard int, words int, contexts int, pairs int, word_data binary, pair_data binary"))
 
-    def unpack(data: bytes, w: int, p: int) -> tuple[np.ndarray, ...]:
-        at, out = 0, []
-        for kind, n in ((U64, w), (np.int64, w), (np.int32, p), (np.int32, p), (np.int64, p)):
-            out.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
-            at += out[-1].nbytes
-        return tuple(out)
+    def joined(parts: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The distinct keys, their weights in all, and each part's places among them."""
+        known, place = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in parts])
+        return known, np.bincount(place, weights=np.concatenate(weights), minlength=len(known)), [place[e - len(x) : e] for e, x in zip(ends, parts, strict=True)]
+
+    def gather_words(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        release()
+        parts = [_unpack(d, (U64, w), (np.int64, w)) for d, w in zip(frame["word_data"], frame["words"], strict=True)]
+        known, count, places = joined([np.cumsum(x[0]) for x in parts], [x[1] for x in parts])
+        return known, count.astype(np.int64), places
 
     def gather(frame: pd.DataFrame) -> tuple:
-        """The shard's words and pairs with their counts over all blocks, and each block's places among them."""
-        parts = [unpack(d, w, p) for d, w, p in zip(frame["data"], frame["words"], frame["pairs"], strict=True)]
-        known, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([x[1] for x in parts]), minlength=len(known)).astype(np.int64)
-        ends = np.cumsum([len(x[0]) for x in parts])
-        places = [place[e - len(x[0]) : e] for e, x in zip(ends, parts, strict=True)]
-        pair_key = np.concatenate([x[2].astype(np.int64) * len(known) + own[x[3]] for own, x in zip(places, parts, strict=True)])
-        keys, pair_place = np.unique(pair_key, return_inverse=True)
-        pair_count = np.bincount(pair_place, weights=np.concatenate([x[4] for x in parts]), minlength=len(keys)).astype(np.int64)
-        ends = np.cumsum([len(x[2]) for x in parts])
-        pair_places = [pair_place[e - len(x[2]) : e] for e, x in zip(ends, parts, strict=True)]
-        return known, count, keys // max(1, len(known)), keys % max(1, len(known)), pair_count, places, pair_places
-
-    def sums(frame: pd.DataFrame) -> pd.DataFrame:
-        known, count, context, _, pair_count, _, _ = gather(frame)
-        has = pair_count > 0
-        rows = [(-1, int(count.sum()), int((count > 0).sum()))]
-        per, kinds = np.bincount(context, weights=pair_count, minlength=len(order)), np.bincount(context[has], minlength=len(order))
-        return pd.DataFrame(rows + [(i, int(per[i]), int(kinds[i])) for i in range(len(order))], columns=["context", "customers", "kinds"])
-
-    found = {r["context"]: r for r in asked.groupBy("shard").applyInPandas(sums, "context int, customers long, kinds long").groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("kinds").alias("kinds")).collect()}
-    total, vocabulary = (int(found[-1][k]) for k in ("customers", "kinds")) if found else (0, 0)
-    customers = np.array([found[i]["customers"] for i in range(len(order))], dtype=np.int64)
-    kinds = np.array([found[i]["kinds"] for i in range(len(order))], dtype=np.int64)
-    totals = {"vocabulary": vocabulary, "customers": customers, "kinds": kinds, "direct": total - int(customers.sum())}
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        known, count, context, pair_word, pair_count, places, pair_places = gather(frame)
+        """The shard's words, contexts and pairs with their counts over all blocks, and each block's places among them."""
+        known, count, places = gather_words(frame)
+        parts = [_unpack(d, (np.int32, p), (np.int32, p), (np.int64, p), (U64, k)) for d, k, p in zip(frame["pair_data"], frame["contexts"], frame["pairs"], strict=True)]
+        before, place = np.unique(np.concatenate([np.cumsum(x[3]) for x in parts]), return_inverse=True)
+        ends = np.cumsum(frame["contexts"].to_numpy())
+        width = max(1, len(known))
+        wanted, counts = [], []
+        for x, own, end in zip(parts, places, ends.tolist(), strict=True):
+            at = place[end - len(x[3]) : end]
+            wanted.append(at[np.cumsum(x[0], dtype=np.int64)] * width + own[x[1]])
+            counts.append(x[2])
+            x.clear()
+        del place
+        keys, pair_count, pair_places = joined(wanted, counts)
+        return known, count, before, keys // width, keys % width, pair_count.astype(np.int64), places, pair_places
+
+    def owners(before: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each shard, the places of those learned contexts that are its words, in a fixed order."""
+        learned = np.flatnonzero(kinds)
+        own = _shards(before[learned], shards)
+        by_owner = np.argsort(own, kind="stable")
+        for part in np.split(by_owner, np.flatnonzero(np.diff(own[by_owner])) + 1):
+            if len(part):
+                yield int(own[part[0]]), learned[part]
+
+    columns = ["owner", "shard", "n", "data", "customers", "vocabulary", "direct", "pairs"]
+
+    def tell(frame: pd.DataFrame) -> pd.DataFrame:
+        known, count, before, context, _, pair_count, _, _ = gather(frame)
+        shard, has = int(frame["shard"].iloc[0]), pair_count > 0
+        kinds = np.bincount(context[has], minlength=len(before))
+        rows = [(-1, shard, 0, b"", int(count.sum()), int((count > 0).sum()), int(count.sum() - pair_count.sum()), int(has.sum()))]
+        return pd.DataFrame(rows + [(o, shard, len(at), _pack(_steps(before[at]), kinds[at].astype(np.int64)), 0, 0, 0, 0) for o, at in owners(before, kinds)], columns=columns)
+
+    told = cut(asked.groupBy("shard").applyInPandas(tell, "owner int, shard int, n int, data binary, customers long, vocabulary long, direct long, pairs long"))
+    totals = {k: int(v or 0) for k, v in told.where("owner = -1").agg(*[F.sum(k).alias(k) for k in columns[4:]]).first().asDict().items()}
+    total, vocabulary = totals["customers"], totals["vocabulary"]
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        """Adds up the kinds of each context of one owner, and sends each shard those of its contexts."""
+        parts = [_unpack(d, (U64, n), (np.int64, n)) for d, n in zip(frame["data"], frame["n"], strict=True)]
+        _, kinds, places = joined([np.cumsum(x[0]) for x in parts], [x[1] for x in parts])
+        return pd.DataFrame([(o, s, _pack(kinds[at].astype(np.int64))) for o, s, at in zip(frame["owner"], frame["shard"], places, strict=True)], columns=["owner", "shard", "data"])
+
+    added = told.where("owner >= 0").select("owner", "shard", "n", "data").groupBy("owner").applyInPandas(add, "owner int, shard int, data binary")
+
+    # Rows of blocks have their replies; rows of block -1 the sums for an owner of contexts, those of block -2 the parent's.
+    def answer(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        known, count, before, context, pair_word, pair_count, places, pair_places = gather(frame)
         shard = int(frame["shard"].iloc[0])
-        words, pair, tables, base, served = _Shard(known, count, context, pair_word, pair_count).sample(totals, sweeps, burn_in, seed + shard)
-        rows = [(int(b), shard, _blob(count[w], words[w], pair[p])) for b, w, p in zip(frame["block"], places, pair_places, strict=True)]
-        rows.append((-1, shard, _blob(tables, np.array([base, served]))))
-        return pd.DataFrame(rows, columns=["block", "shard", "data"])
-
-    answered = cut(asked.groupBy("shard").applyInPandas(answer, "block int, shard int, data binary"))
-    # One row of len(order) + 2 numbers for each shard: summed in the plan, so that the driver gets one row.
-    spread = answered.where("block = -1").select("data").mapInPandas(lambda parts: (pd.DataFrame([(i, float(x)) for d in part["data"] for i, x in enumerate(np.frombuffer(d))], columns=["i", "x"]) for part in parts), "i int, x double")
-    sampled = {r["i"]: r["x"] for r in spread.groupBy("i").agg(F.sum("x").alias("x")).collect()}
-    tables = np.array([sampled.get(i, 0.0) for i in range(len(order))])
-    base, served = sampled.get(len(order), 0.0), sampled.get(len(order) + 1, 0.0)
+        kinds = np.bincount(context[pair_count > 0], minlength=len(before))
+        by_owner, everywhere = dict(zip(replies["owner"], replies["data"], strict=True)), np.zeros(len(before), dtype=np.int64)
+        own = list(owners(before, kinds))
+        for o, at in own:
+            everywhere[at] = _unpack(by_owner[o], (np.int64, len(at)))[0]
+        words, pair, tables, base, served = _Shard(known, count, context, pair_word, pair_count).sample(everywhere, totals, sweeps, burn_in, seed + shard)
+        rows = [(int(b), shard, 0, _pack(count[w], words[w], pair[p]), 0.0, 0.0) for b, w, p in zip(frame["block"], places, pair_places, strict=True)]
+        rows += [(-1, o, len(at), _pack(_steps(before[at]), tables[at]), 0.0, 0.0) for o, at in own]
+        rows.append((-2, shard, 0, b"", float(base), float(served)))
+        return pd.DataFrame(rows, columns=["block", "shard", "n", "data", "base", "served"])
+
+    answered = cut(asked.groupBy("shard").cogroup(added.groupBy("shard")).applyInPandas(answer, "block int, shard int, n int, data binary, base double, served double"))
+    # The pairs have been answered; what blocks sent takes as much disk as the texts, and only its words are needed on.
+    word_lists = cut(asked.select("block", "shard", "words", "word_data"))
+    _remove(asked)
+    _remove(told)
+    # Summed in the plan, so that the driver gets one row.
+    base, served = (x or 0.0 for x in answered.where("block = -2").agg(F.sum("base"), F.sum("served")).first())
     (d1, d0), (s1, s0) = DISCOUNT, STRENGTH
     new_word = (s0 + d0 * base) / (s0 + served) / (vocabulary + 1)
-    back_off = (s1 + d1 * tables) / (s1 + customers)
+
+    def restaurants(frame: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        """The tables of the restaurants of each block's words, in the words' order."""
+        known, _, places = gather_words(frame)
+        tables = np.zeros(len(known))
+        for data, n in zip(sums["data"], sums["n"], strict=True):
+            before, own = _unpack(data, (U64, n), (np.float64, n))
+            tables[np.searchsorted(known, np.cumsum(before))] += own
+        return pd.DataFrame([(b, s, True, _pack(tables[at])) for b, s, at in zip(frame["block"], frame["shard"], places, strict=True)], columns=["block", "shard", "seated", "data"])
+
+    seated = word_lists.groupBy("shard").cogroup(answered.where("block = -1").select("shard", "n", "data").groupBy("shard")).applyInPandas(restaurants, "block int, shard int, seated boolean, data binary")
+    replied = answered.where("block >= 0").select("block", "shard", F.lit(False).alias("seated"), "data").unionByName(seated)
 
     def apply(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({c: [] for c in ("doc_id", "training", "n_tokens", "n_known", "base_score", "score")})
         block, _ = read(frame)
-        by_shard = dict(zip(replies["shard"], replies["data"], strict=True))
+        by_shard = {(s, seats): d for s, seats, d in zip(replies["shard"], replies["seated"], replies["data"], strict=True)}
         count, word, pair = np.zeros(len(block.known)), np.zeros(len(block.known)), np.zeros(len(block.pair_word))
+        tables = np.zeros(len(block.known))
         for s, w, p in _order(block, shards):
-            data = by_shard[s]
-            count[w] = np.frombuffer(data, dtype=np.int64, count=len(w))
-            word[w] = np.frombuffer(data, count=len(w), offset=8 * len(w))
-            pair[p] = np.frombuffer(data, count=len(p), offset=16 * len(w))
+            count[w], word[w], pair[p] = _unpack(by_shard[s, False], (np.int64, len(w)), (np.float64, len(w)), (np.float64, len(p)))
+            tables[w] = _unpack(by_shard[s, True], (np.float64, len(w)))[0]
         single = word / (s0 + served) + new_word
         chance = single[block.place]
-        at = block.paired
-        chance[at] = pair[block.pair_place] / (s1 + customers[block.context[at]]) + back_off[block.context[at]] * chance[at]
+        at, before = block.paired, block.context
+        chance[at] = (pair[block.pair_place] + (s1 + d1 * tables[before]) * chance[at]) / (s1 + count[before])
         base_chance = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))[block.place]
         start = block.first[:-1]
         return pd.DataFrame({
@@ -299,10 +364,17 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             "base_score": np.add.reduceat(base_chance, start), "score": np.add.reduceat(np.log10(chance), start),
         })
 
-    scored = dealt.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInPandas(apply, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = dealt.groupBy("block").cogroup(replied.groupBy("block")).applyInPandas(apply, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
+def _remove(table: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote, once nothing reads it any more."""
+    for file in table.inputFiles()[:1]:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def _local(block: _Block, words: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Places of the pairs' words within the words sent along; words come sorted as np.unique left them."""
     return np.searchsorted(words, block.pair_word[pair]).astype(np.int32)

@@ -66,6 +66,15 @@ def test_probabilities_sum_to_one(spark):
     assert sum(after.values()) == pytest.approx(first, rel=1e-6)
 
 
+def test_every_word_is_a_context(spark):
+    """200 words, each always followed by one of 200 others: all of them tell what follows, however many there are."""
+    train = [(i, f"w{i % 200} s{i % 200}") for i in range(1_000)]
+    held = [(1_000 + i, f"w{i} s{i}") for i in range(200)] + [(2_000 + i, f"w{i} s{(i + 1) % 200}") for i in range(200)]
+    frame = spark.createDataFrame(train + held, "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in hpy_lm.score(frame, F.col("doc_id") < 1_000, rows_a_block=300).collect()}
+    assert all(scores[1_000 + i] > scores[2_000 + i] + 1 for i in range(200))
+
+
 def test_stirling_draws():
     """The number of tables of c customers, against weights counted over all seatings."""
     rng = np.random.default_rng(1)
