@@ -378,7 +378,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def score(
     docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", contexts: int | None = None, sweeps: int = 5, burn_in: int = 2, rows_a_block: int = 50_000, seed: int = 11,
-    block_bytes: int = 8 << 20, tokens_a_shard: int = 6_000_000,
+    block_bytes: int = 8 << 20, tokens_a_shard: int = 3_000_000,
 ) -> DataFrame:
     """Scores every text under the model learned from the rows where `training` holds.
 
