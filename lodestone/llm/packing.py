@@ -9,6 +9,8 @@ the first packing to beat.
 from __future__ import annotations
 
 import bisect
+import collections
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from lodestone.llm.bytewise import HashIndex, Words, batches, keep_only, release
 from lodestone.llm.shared import small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: With them comes the number of the row among equal ones of its partition, so that very many of them are not packed by one task.
+_COPY = ", copy long"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -111,11 +115,12 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 1) -> DataFrame:
     """A row for each piece of each document: its ids, then the end id, cut every `capacity` ids.
 
-    A null text is empty: its only id is the end id. Repeated rows give repeated pieces.
+    A null text is empty: its only id is the end id. Repeated rows give repeated pieces, told apart by `copy`. Keys are
+    read as whole numbers.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, seen = encoder(path), collections.Counter()
         for part in parts:
             for rows, data, offsets in batches(part, text, 1 << 20):
                 keys = rows.column(key).to_pylist()
@@ -125,13 +130,16 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 for k, n in zip(keys, sizes.tolist(), strict=True):
                     whole = np.append(ids[at : at + n], np.uint32(end)).astype("<u4")
                     at += n
-                    out += [(k, i, s, min(capacity, n + 1 - s), zlib.crc32(whole[s : s + capacity])) for i, s in enumerate(range(0, n + 1, capacity))]
+                    row = [(k, i, s, min(capacity, n + 1 - s), zlib.crc32(whole[s : s + capacity])) for i, s in enumerate(range(0, n + 1, capacity))]
+                    same = hash((k, row[0][3:], row[-1][3:]))
+                    out += [(*x, seen[same]) for x in row]
+                    seen[same] += 1
                 columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
         release()
 
-    return small_batches(docs.select(key, text)).mapInArrow(run, PIECES)
+    return small_batches(docs.select(key, text)).mapInArrow(run, PIECES + _COPY)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -153,53 +161,85 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def fillings(count: np.ndarray, room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of undominated fillings with up to three lengths, and of the greedy filling; least waste first."""
+def _best_two(count: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
+    """Fillings of one or two lengths that leave the least room, the best ones first."""
     have = np.flatnonzero(count[: room + 1])
     have = have[have > 0]
     if not len(have):
-        return [(room, ())]
+        return []
     single = int(have[-1])
-    found = [(room - single, (single,))]
-    if single < room:
-        rest = np.searchsorted(have, np.minimum(room - have, have), side="right") - 1
-        fits = (rest >= 0) & (have < room)
-        a = have[fits]
-        b = have[rest[fits]]
-        enough = (a != b) | (count[a] > 1)
-        lower = np.maximum(np.searchsorted(have, b) - 1, -1)  # where a length is there only once, the next smaller one
-        b = np.where(enough, b, np.where(lower >= 0, have[lower], 0))
-        a, b = a[b > 0], b[b > 0]
-        total = a + b
-        good = total > single  # else the single one dominates
-        a, b, total = a[good], b[good], total[good]
-        for i in np.argsort(-total, kind="stable")[:most].tolist():
-            found.append((room - int(total[i]), (int(a[i]), int(b[i]))))
-        least = min(w for w, _ in found)
-        if least:
-            for first in (single, *a[-2:].tolist()):
-                left, used = room, []
-                taken: dict[int, int] = {}
-                x = min(first, left)
-                while left and x > 0:  # greedy, largest first
-                    spot = np.searchsorted(have, min(x, left), side="right") - 1
-                    while spot >= 0 and taken.get(int(have[spot]), 0) >= count[have[spot]]:
-                        spot -= 1
-                    if spot < 0:
-                        break
-                    x = int(have[spot])
-                    used.append(x)
-                    taken[x] = taken.get(x, 0) + 1
-                    left -= x
-                if left < least:
-                    found.append((left, tuple(used)))
-    return sorted(set(found))[:most]
-
-
-def bin_completion(lengths: list[int], capacity: int, nodes_each: int = 6, most: int = 6) -> list[list[int]]:
+    rest = np.searchsorted(have, np.minimum(room - have, have), side="right") - 1
+    fits = (rest >= 0) & (have < room)
+    a, b = have[fits], have[rest[fits]]
+    lower = np.searchsorted(have, b) - 1  # where a length is there only once, the next smaller one
+    b = np.where((a != b) | (count[a] > 1), b, np.where(lower >= 0, have[np.maximum(lower, 0)], 0))
+    good = (b > 0) & (a + b > single)  # else the single one dominates
+    a, b = a[good], b[good]
+    order = np.argsort(-(a + b), kind="stable")[:most]
+    return [(int(x), int(y)) for x, y in zip(a[order], b[order], strict=True)] + [(single,)]
+
+
+def _dominated(used: list[int], left: int, count: np.ndarray, have: list[int]) -> bool:
+    """Whether a length that is still there could take the place of some of those used, which all fit into it."""
+    one, several = 1, 0  # bits: sums of any of the lengths used, and of two or more of them
+    for x in used:
+        several |= (several << x) | ((one & ~1) << x)
+        one |= one << x
+    for x in have:
+        if x <= 0 or not count[x]:
+            continue
+        low = max(1, x - left)
+        below = (one >> low) & ((1 << (x - low)) - 1) if x > low else 0
+        if below or several >> x & 1:
+            return True
+    return False
+
+
+def fillings(count: np.ndarray, room: int) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """(waste, lengths) of every undominated filling of the room, each once, as they are asked for.
+
+    The best fillings of one or two lengths come first, then the others, from large lengths to small. None stands for
+    a filling that was tried and is dominated, so that the caller can count all that it waits for.
+    """
+    count = count.copy()
+    seen = set()
+    for used in _best_two(count, room, 4):
+        seen.add(used)
+        yield room - sum(used), used
+    have = [int(x) for x in np.flatnonzero(count[: room + 1]) if x > 0][::-1]
+    if not have:
+        yield room, ()
+        return
+    least = have[-1]
+    taken: list[int] = []  # places in `have`; count is lowered by what is taken
+    i, left = 0, room
+    while True:
+        while i < len(have):
+            if have[i] <= left and count[have[i]]:
+                count[have[i]] -= 1
+                taken.append(i)
+                left -= have[i]
+            else:
+                i += 1
+        used = [have[k] for k in taken]
+        yield from itertools.repeat(None, len(used) // 16)  # long fillings take longer to look at
+        maximal = used and (left < least or not any(x <= left and count[x] for x in have))
+        good = maximal and tuple(used) not in seen and not _dominated(used, left, count, have)
+        yield (left, tuple(used)) if good else None
+        if not taken:
+            return
+        i = taken.pop()
+        count[have[i]] += 1
+        left += have[i]
+        i += 1
+
+
+def bin_completion(lengths: list[int], capacity: int, nodes_each: int = 8) -> list[list[int]]:
     """A packing with as few sequences as the search finds; it is the least number once that meets the bound.
 
-    The search opens at most nodes_each nodes a length plus a thousand, then keeps the best packing so far.
+    The search tries at most nodes_each fillings a length plus a thousand, then keeps the best packing so far; without
+    that limit it would try all undominated fillings. What the limit can cost is at most the packing's excess over the
+    bound, which the tests and the README state.
     """
     best = best_fit(lengths, capacity)
     total = sum(lengths)
@@ -207,44 +247,44 @@ def bin_completion(lengths: list[int], capacity: int, nodes_each: int = 6, most:
     if len(best) <= bound:
         return best
     count = np.bincount(lengths, minlength=capacity + 1)
-    left, wasted, nodes, limit = len(lengths), 0, 0, 1_000 + nodes_each * len(lengths)
-    path: list[tuple[int, list, int, int]] = []  # largest length, options, option taken, its waste
+    left, wasted, tried, limit = len(lengths), 0, 0, 1_000 + nodes_each * len(lengths)
+    path: list[tuple[int, Iterator, tuple[int, ...], int]] = []  # largest length, its fillings, the one taken, its waste
     down = True
-    while nodes < limit:
+    while tried < limit and len(best) > bound:
         allowed = (len(best) - 1) * capacity - total
-        if down and not left:
-            best = [[a, *options[i][1]] for a, options, i, _ in path]
-            if len(best) <= bound:
-                break
-            down = False
-            continue
         if down:
-            nodes += 1
+            if not left:
+                best = [[a, *used] for a, _, used, _ in path]
+                down = False
+                continue
             a = int(np.flatnonzero(count)[-1])
             count[a] -= 1
             left -= 1
-            path.append((a, fillings(count, capacity - a, most), -1, 0))
+            path.append((a, fillings(count, capacity - a), (), 0))
         elif not path:
             break
-        a, options, i, waste = path.pop()
-        if i >= 0:
-            for x in options[i][1]:
-                count[x] += 1
-            left += len(options[i][1])
-            wasted -= waste
-        i += 1
-        if i < len(options) and wasted + options[i][0] <= allowed:
-            waste, used = options[i]
-            for x in used:
-                count[x] -= 1
-            left -= len(used)
-            wasted += waste
-            path.append((a, options, i, waste))
-            down = True
-        else:
+        a, options, used, waste = path.pop()
+        for x in used:
+            count[x] += 1
+        left += len(used)
+        wasted -= waste
+        down = False
+        for option in options:
+            tried += 1
+            waste, used = option or (capacity, ())
+            if option and wasted + waste <= allowed:
+                for x in used:
+                    count[x] -= 1
+                left -= len(used)
+                wasted += waste
+                path.append((a, options, used, waste))
+                down = True
+                break
+            if tried >= limit:
+                break
+        if not down:
             count[a] += 1
             left += 1
-            down = False
     return best
 
 
@@ -255,7 +295,7 @@ def pack(parts: DataFrame, rows: int, capacity: int = 4096, group: int = 3_000)
     few groups. `rows` is the number of rows, or about that.
     """
     groups = max(1, round(rows / group))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(groups)))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
@@ -272,7 +312,7 @@ def pack(parts: DataFrame, rows: int, capacity: int = 4096, group: int = 3_000)
                 sequence[i], offset[i] = k, at
                 at += x
         sequence += int(frame["_group"].iloc[0]) << 32
-        return frame.drop(columns="_group").assign(sequence_id=sequence, offset=offset)
+        return frame.drop(columns=["_group", "copy"]).assign(sequence_id=sequence, offset=offset)
 
     return dealt.groupBy("_group").applyInPandas(solve, f"{PIECES}, sequence_id long, offset long")
 
