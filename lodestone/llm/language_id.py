@@ -24,6 +24,8 @@ _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:256] = 27 + np.arange(128)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Parts of a labelled text that is too long to be learned whole.
+STRETCHES = 8
 _FLAG = np.int32(-(1 << 31))
 _REST = np.int32((1 << 31) - 1)
 _automata: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -94,8 +96,13 @@ def _tables(model: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndarra
     return _automata[model]
 
 
-def phrases(model: tuple[tuple[str, bytes], ...], data: np.ndarray, offsets: np.ndarray, block: int) -> np.ndarray:
-    """The number of phrases [language, text]. Texts are parsed in blocks of `block` bytes, side by side."""
+def phrases(model: tuple[tuple[str, bytes], ...], data: np.ndarray, offsets: np.ndarray, block: int, whole: bool = False) -> np.ndarray:
+    """The number of phrases [language, text] of the greedy parse of each text, by blocks of `block` bytes side by side.
+
+    Each block is parsed as if a phrase began there. For parses of `whole` texts, every block is then parsed again from
+    the state in which the one before it ended, as far as the two parses differ: once they meet in one state they go on
+    alike. So the counts are those of a single parse, whatever the block.
+    """
     classes, roots, table = _tables(model)
     codes = classes[data]
     sizes = np.diff(offsets)
@@ -105,22 +112,60 @@ def phrases(model: tuple[tuple[str, bytes], ...], data: np.ndarray, offsets: np.
     start = offsets[text_of] + index * block
     length = np.minimum(block, offsets[text_of + 1] - start)
     order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
+    by_length, at = length[order], start[order]
     count = np.zeros((len(roots), len(order)), dtype=np.int32)
     state = np.repeat(roots[:, None], len(order), axis=1)
-    running = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
+    last = state.copy()
+    running = np.searchsorted(-by_length, -np.arange(by_length[0] if len(order) else 0), side="left")
     for step, n in enumerate(running):
         if n < state.shape[1]:
+            last[:, n : state.shape[1]] = state[:, n:]
             state = np.ascontiguousarray(state[:, :n])
-        to = table.take(state + codes.take(start[:n] + step)[None, :])
+        to = table.take(state + codes.take(at[:n] + step)[None, :])
         count[:, :n] -= to >> 31
         state = to & _REST
+    last[:, : state.shape[1]] = state
+    back = np.argsort(order)
+    count, last = count[:, back].astype(np.int64), last[:, back]
+    begun = np.repeat(roots[:, None], len(order), axis=1)
+    language, piece = np.nonzero(np.broadcast_to(index > 0, count.shape))
+    while whole and len(piece):
+        language, piece = _join(table, codes, begun, start, length, index, count, last, language, piece)
     total = np.zeros((len(roots), len(sizes)), dtype=np.int64)
-    for language in range(len(roots)):
-        total[language] = np.bincount(text_of[order], weights=count[language], minlength=len(sizes))
+    for i in range(len(roots)):
+        total[i] = np.bincount(text_of, weights=count[i], minlength=len(sizes))
     return total
 
 
+def _join(table: np.ndarray, codes: np.ndarray, begun: np.ndarray, start: np.ndarray, length: np.ndarray, index: np.ndarray, count: np.ndarray, last: np.ndarray, language: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correct the counts of these blocks, parsed from the states in `begun`, where the block before ended in another one.
+
+    Returns the blocks after those whose own last state thereby changed, which is rare: they have to be corrected again.
+    """
+    true, parsed = last[language, piece - 1], begun[language, piece]
+    begun[language, piece] = true
+    fixed = np.zeros(len(piece), dtype=np.int64)
+    left, step = np.flatnonzero(true != parsed), 0
+    ended = []
+    while len(left):
+        done = step >= length[piece[left]]
+        ended.append(left[done])
+        left = left[~done]
+        code = codes[start[piece[left]] + step]
+        one, other = table[true[left] + code], table[parsed[left] + code]
+        fixed[left] += (other >> 31).astype(np.int64) - (one >> 31)
+        true[left], parsed[left] = one & _REST, other & _REST
+        left, step = left[true[left] != parsed[left]], step + 1
+    at = np.concatenate(ended) if ended else np.zeros(0, dtype=np.int64)
+    changed = at[last[language[at], piece[at]] != true[at]]
+    count[language, piece] += fixed
+    last[language[changed], piece[changed]] = true[changed]
+    follows = np.flatnonzero(piece[changed] + 1 < len(index))
+    changed = changed[follows]
+    changed = changed[index[piece[changed] + 1] > 0]
+    return language[changed], piece[changed] + 1
+
+
 def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds any letter of any script."""
     before = np.zeros(len(data) + 1, dtype=np.int64)
@@ -132,37 +177,50 @@ def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, training: Column, text: str, label: str, key: str, chars: int = 32_768, chars_of_a_text: int = 2_048, texts: int = 64) -> tuple[tuple[str, bytes], ...]:
+def fit(docs: DataFrame, training: Column, text: str, label: str, key: str, chars: int = 32_768, texts: int = 64) -> tuple[tuple[str, bytes], ...]:
     """A bounded sample of labelled text for each language: (language, text) by language.
 
-    The sample holds the first `chars_of_a_text` characters of the labelled texts with the least hash of their key, up
-    to `chars` characters a language: at most about twice `texts` texts of each reach the driver, however large the
-    table. Rows with a null text or label teach nothing.
+    The sample holds whole labelled texts, those with the least hash of their key, up to `chars` characters a language;
+    of a text that is longer than what is left of them it holds stretches, spread evenly over the text. About twice `texts` texts of each language reach the driver, however large the table. Rows with a null
+    text or label teach nothing. Each label has an automaton in every worker: labels are meant to be few, as languages are.
     """
     usable = docs.where(training & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("at"))
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return ()
     limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(2 * texts * 2**64 // n, 2**64 - 1) - 2**63)]), F.col("label"))
-    sample = usable.where(F.col("at") <= limit).select("label", "at", F.substring("text", 1, chars_of_a_text).alias("text")).collect()
+    each = chars // STRETCHES - 1
+    stretch = lambda i: F.substr("text", F.floor(i * (F.length("text") - each) / (STRETCHES - 1)).cast("int") + 1, F.lit(each))
+    stretches = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch), "\n")
+    sample = usable.where(F.col("at") <= limit).select("label", "at", F.when(F.length("text") < chars, F.col("text")).otherwise(stretches).alias("text")).collect()
     out = []
     for language in sorted(sizes):
         part = ""
         for row in sorted((r for r in sample if r["label"] == language), key=lambda r: (r["at"], r["text"])):
-            part += row["text"] + "\n"
-            if len(part) >= chars:
-                break
-        out.append((language, part[:chars].encode()))
+            room = chars - len(part)
+            if room > len(row["text"]):
+                part += row["text"] + "\n"
+            elif room:
+                part += _stretches(row["text"], room)
+        out.append((language, part.encode()))
     return tuple(out)
 
 
+def _stretches(text: str, room: int) -> str:
+    """Evenly spread parts of a text, with a line feed after each, `room` characters in all."""
+    n = max(1, min(STRETCHES, room // 64))
+    ends = [room * (i + 1) // n for i in range(n)]
+    sizes = [b - a - 1 for a, b in zip([0, *ends], ends, strict=False)]
+    return "".join(text[(at := i * (len(text) - size) // max(1, n - 1)) : at + size] + "\n" for i, size in enumerate(sizes))
+
+
 def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], text: str = "text", block: int = 4_096) -> DataFrame:
     """Adds lang_pred and score to the rows.
 
     lang_pred is the language with the least phrases * log2(1 + its labelled bytes); ties go to the lesser name. score
     is 1 - least / second least, 1 with only one language. A null text, or one without letters, gets `und` and 0, as do
-    all texts where nothing was learned. Whole texts are parsed; a phrase ends at each multiple of `block` bytes, so
-    that a very long text needs no more memory than many short ones. Columns named lang_pred or score are replaced.
+    all texts where nothing was learned. Whole texts are parsed, in blocks of `block` bytes side by side, with the result
+    of one parse. Columns named lang_pred or score are replaced.
     """
     names = np.array([language for language, _ in model], dtype=object)
     price = np.array([np.log2(1 + len(sample)) for _, sample in model])
@@ -175,7 +233,7 @@ def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...], text: str =
                 known = has_letters(data, offsets)
                 best, score = np.full(rows.num_rows, "und", dtype=object), np.zeros(rows.num_rows)
                 if len(names):
-                    cost = phrases(model, data, offsets, block) * price[:, None]
+                    cost = phrases(model, data, offsets, block, whole=True) * price[:, None]
                     order = np.argsort(cost, axis=0, kind="stable")
                     first = np.take_along_axis(cost, order[:1], 0)[0]
                     second = np.take_along_axis(cost, order[1:2], 0)[0] if len(names) > 1 else np.full(len(first), np.inf)

@@ -70,3 +70,28 @@ def test_fit_is_bounded_and_repeats(spark):
     a = language_id.fit(docs, F.lit(True), "text", "lang", "doc_id", chars=1_000, texts=8)
     assert [len(t) for _, t in a] == [1_000, 1_000]
     assert a == language_id.fit(docs.orderBy(F.desc("doc_id")), F.lit(True), "text", "lang", "doc_id", chars=1_000, texts=8)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_whole_texts_are_parsed_as_one(seed):
+    """Whatever the block, down to blocks that are shorter than phrases."""
+    rng = random.Random(10 + seed)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    sample = word(200, "ab ")
+    model = (("a", sample.encode()), ("b", word(200, "bcd.").encode()))
+    texts = ["", "a", word(700, "abcdé ."), sample * 3, word(90, "ab"), sample[7:60]]
+    data, offsets = text_buffers(pa.array(texts))
+    for block in (5, 64, 10_000):
+        found = language_id.phrases(model, data, offsets, block, whole=True)
+        for k, (_, known) in enumerate(model):
+            assert found[k].tolist() == [plain_phrases(known, t.encode(), 1 << 30) for t in texts]
+
+
+def test_long_labelled_texts_are_sampled_all_over(spark):
+    text = "".join(f"{i:04d} " for i in range(2_000))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "short", "b")], "doc_id long, text string, lang string")
+    (_, a), (_, b) = language_id.fit(docs, F.lit(True), "text", "lang", "doc_id", chars=1_000)
+    assert b == b"short\n"
+    assert len(a) <= 1_000
+    assert text[:20] in a.decode()
+    assert text[-20:].strip() in a.decode()
