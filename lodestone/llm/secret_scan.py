@@ -32,22 +32,31 @@ ENCODINGS = (
 )
 LENGTHS = (20, 24, 32, 48, 64, 128)
 _BUCKETS = 64
+_RUN = 64
 _SPANS = "array<struct<start:int,rank:int,end:int,hit:string>>"
 
 
+def _before(values: Column, zero: Column, add) -> Column:
+    """For each value, all those before it added up by `add`, an associative operation whose neutral element is zero.
+
+    In runs of _RUN values, so that the work grows with their number: an array that grows by one is copied each time.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int")), lambda i: F.slice(values, i * _RUN + 1, F.lit(_RUN)))
+    grow = lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x)))
+    starts = F.aggregate(F.transform(runs, lambda run: F.aggregate(run, zero, add)), F.array(zero), grow)
+    inside = F.zip_with(F.slice(starts, 1, F.size(runs)), runs, lambda start, run: F.slice(F.aggregate(run, F.array(start), grow), 1, F.size(run)))
+    return F.when(F.size(values) > 0, F.flatten(inside)).otherwise(F.slice(values, 1, 0))
+
+
 def _matches(text: Column, pattern: str, kind: str, good) -> Column:
     """Spans of the leftmost non-overlapping matches that `good` keeps: the pieces between matches give the places."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else hits
-    sizes = F.zip_with(F.slice(F.transform(between, F.length), 1, F.greatest(F.size(hits), F.lit(1))), F.arrays_zip(hits.alias("hit"), inner.alias("inner")), lambda gap, m: F.struct(gap.alias("gap"), F.length(m["hit"]).alias("size"), good(m["hit"], m["inner"]).alias("good"), m["hit"].alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + m["size"]).alias("end"), m["hit"].alias("hit"))
-        return F.struct((begin + m["size"]).alias("at"), F.when(m["good"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    return F.when(F.size(hits) > 0, F.aggregate(sizes, start, step, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
+    gaps = F.transform(F.slice(between, 1, F.greatest(F.size(hits), F.lit(1))), F.length)
+    earlier = _before(F.zip_with(gaps, hits, lambda gap, hit: gap + F.length(hit)), F.lit(0), lambda x, y: x + y)
+    found = F.zip_with(F.arrays_zip(earlier.alias("earlier"), gaps.alias("gap")), F.arrays_zip(hits.alias("hit"), inner.alias("inner")), lambda at, m: F.struct((at["earlier"] + at["gap"]).alias("start"), m["hit"].alias("hit"), m["inner"].alias("inner")))
+    spans = F.transform(F.filter(found, lambda m: good(m["hit"], m["inner"])), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (m["start"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
+    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
 def _tail(z: Column) -> Column:
@@ -187,15 +196,15 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
-    """The rows with every span of their text replaced by the mark; overlapping spans share one. A null text stays."""
-    found = scan(docs, fit(docs, text), text)
-    t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substr(t, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(t)).drop("_spans")
+    """The rows with every span of their text replaced by the mark; overlapping spans share one. A null text stays.
+
+    The columns that a scan adds are the only ones whose names must not be taken; the others travel as one column.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = scan(rows, fit(rows))
+    t = F.col("text")
+    # What lies before a span begins where all earlier spans have ended; a span inside them adds nothing.
+    covered = F.zip_with(_before(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y)), "_spans", lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+    pieces = F.transform(F.filter(covered, lambda s: s["start"] >= s["at"]), lambda s: F.concat(F.substr(t, s["at"] + 1, s["start"] - s["at"]), F.lit(mark)))
+    clean = F.concat(F.array_join(pieces, ""), F.substr(t, F.array_max(F.transform("_spans", lambda s: s["end"])) + 1))
+    return found.select("row", F.when(F.size("_spans") > 0, clean).otherwise(t).alias("text")).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
