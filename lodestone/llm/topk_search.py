@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import cut
 
-#: Sums up to here are exact in floating point, so that products of matrices give whole numbers.
-_EXACT = float(1 << 53)
+#: Relative error of a sum of products in floating point, a term.
+_ROUNDING = 2.0**-51
 
 
 def quantized(embeddings: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -33,11 +33,13 @@ def quantized(embeddings: DataFrame, key: str, vector: str, scale: int) -> DataF
 def no_random_access(items: np.ndarray, queries: np.ndarray, k: int, exclude: np.ndarray) -> list[np.ndarray]:
     """For each query, rows of `items` that hold its k best by inner product; `exclude` [query, item] marks rows that don't count.
 
-    Bounds are computed for all queries at once at depths that double; a query ends when its candidates are few.
+    Bounds are computed for all queries at once at depths that double; a query ends when its candidates are few. They
+    are wider than the exact ones by what floating point may round, so that they hold for numbers of any size.
     """
     n, d = items.shape
     if not n:
         return [np.zeros(0, dtype=np.int64)] * len(queries)
+    slack = _ROUNDING * d * d * float(np.abs(items).max(initial=0)) * float(np.abs(queries).max(initial=0))
     order = np.argsort(-items, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
@@ -57,7 +59,7 @@ def no_random_access(items: np.ndarray, queries: np.ndarray, k: int, exclude: np
         out = exclude[going].T
         lower[out], upper[out] = -np.inf, -np.inf
         kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(going), -np.inf)
-        stays = (upper >= kth) & ~out
+        stays = (upper + slack >= kth - slack) & ~out
         few = (stays.sum(axis=0) <= max(16 * k, n // 8)) | (depth == n)
         for i in np.flatnonzero(few):
             left[int(going[i])] = np.flatnonzero(stays[:, i])
@@ -90,8 +92,7 @@ def search(embeddings: DataFrame, is_query: Column, key: str = "vec_id", vector:
         x, y = dense(own["codes"]), dense(ask["codes"])
         ids, query_ids = own["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
         exclude = query_ids[:, None] == ids[None, :]
-        safe = width * float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) < _EXACT
-        found = no_random_access(x.astype(np.float64), y.astype(np.float64), k, exclude) if safe else [np.flatnonzero(~e) for e in exclude]
+        found = no_random_access(x.astype(np.float64), y.astype(np.float64), k, exclude)
         out = []
         for q, at in enumerate(found):
             scores = x[at] @ y[q]
