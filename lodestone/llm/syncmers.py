@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.bytewise import U64, batches, mix
 from lodestone.llm.shared import partitions, small_batches
 
-K, S, ANCHORS = 12, 5, 48
+K, S = 12, 5
+#: A fingerprint holds one anchor in SHARE, and ANCHORS at least, as far as the text has them.
+ANCHORS, SHARE = 48, 24
 _BASE = [pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(S)]
 _ANCHOR = np.dtype([("hash", ">u4"), ("at", ">u4")])
 
@@ -48,16 +50,16 @@ def syncmers(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketch(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ANCHORS least distinct hashes with their first positions, by position."""
-    if len(hashes) > 12 * ANCHORS:
-        near = np.flatnonzero(hashes <= np.partition(hashes, 4 * ANCHORS)[4 * ANCHORS])
-        least, first = np.unique(hashes[near], return_index=True)
-        first = near[first]
-        if len(least) < ANCHORS:
-            least, first = np.unique(hashes, return_index=True)
-    else:
+    """The least distinct hashes, one in SHARE but ANCHORS at least, with their first positions, by position."""
+    wanted = max(ANCHORS, -(-len(hashes) // SHARE))
+    near = np.arange(len(hashes))
+    if len(hashes) > 8 * wanted:
+        near = np.flatnonzero(hashes <= np.partition(hashes, 4 * wanted)[4 * wanted])
+    least, first = np.unique(hashes[near], return_index=True)
+    if len(least) < wanted and len(near) < len(hashes):
+        near = np.arange(len(hashes))
         least, first = np.unique(hashes, return_index=True)
-    first = np.sort(first[:ANCHORS])
+    first = np.sort(near[first[:wanted]])
     out = np.empty(len(first), dtype=_ANCHOR)
     out["hash"], out["at"] = hashes[first], np.minimum(at[first], 0xFFFFFFFF)
     return out
@@ -80,10 +82,13 @@ def fingerprints(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the joint bottom sketch whose anchors lie in both in the same order; two empty ones are alike."""
+    """The share of the joint bottom sketch whose anchors lie in both in the same order; two empty ones are alike.
+
+    The joint sketch is as large as the smaller of the two; one with fewer than ANCHORS holds all that its text has.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a["hash"], b["hash"])[:ANCHORS]
+    both = np.union1d(a["hash"], b["hash"])[: max(ANCHORS, min(len(a), len(b)))]
     common, i, j = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
     shared = common <= both[-1]
     if not shared.any():
