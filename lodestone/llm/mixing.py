@@ -17,9 +17,12 @@ from lodestone.llm.shared import cut
 
 #: Blocks that may be broadcast; beyond it rows and blocks are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Ranges of hashes (three hexadecimal digits) by which a source's blocks are ordered.
+RANGES = 4_096
 #: A token, for counting: a run of other than white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+
 def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
     """Normalised powers of the sources' shares; a source without tokens has none."""
     total = sum(tokens.values())
@@ -72,9 +75,10 @@ def mix(docs: DataFrame, source: str, size: Column, key: str, target_entropy: fl
     counts as 0. Rows with equal keys come by size. Columns with the added names are replaced.
     """
     spark = docs.sparkSession
-    name = F.coalesce(F.col(source), F.lit("\u0000null"))
-    own = docs.drop("mix_weight", "mix_passes", "copies").withColumn("_source", name).withColumn("_size", F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long"))
-    totals = {r["_source"]: (r["rows"], r["tokens"]) for r in own.groupBy("_source").agg(F.count("*").alias("rows"), F.sum("_size").alias("tokens")).collect()}
+    kept = docs.drop("mix_weight", "mix_passes", "copies")
+    # The caller's columns travel as one, so that no name can clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.coalesce(F.col(source), F.lit("\u0000null")).alias("source"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("size"), F.col(key).cast("string").alias("key"))
+    totals = {r["source"]: (r["rows"], r["tokens"]) for r in own.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("tokens")).collect()}
     tokens = {s: n for s, (_, n) in totals.items()}
     parts = weights(tokens, solve(tokens, target_entropy, most_passes))
     often = passes(tokens, parts)
@@ -82,16 +86,29 @@ def mix(docs: DataFrame, source: str, size: Column, key: str, target_entropy: fl
     for s, (rows, n) in sorted(totals.items()):
         whole = int(often[s] + 1e-9)
         plan.append((s, parts[s], often[s], whole, round(max(0.0, often[s] - whole) * n), max(1, math.ceil(rows / rows_a_block))))
-    sources = F.broadcast(spark.createDataFrame(plan, "_source string, mix_weight double, mix_passes double, _whole int, _rest long, _blocks long"))  # a row a source
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    dealt = own.join(sources, "_source").withColumn("_order", order).withColumn("_block", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % F.col("_blocks"))
-    blocks = dealt.groupBy("_source", "_block").agg(F.sum("_size").alias("_tokens"), F.first("_rest").alias("_rest"))
-    turn = Window.partitionBy("_source").orderBy(F.md5(F.concat_ws(":", F.lit(seed + 1), "_source", "_block").cast("binary")), "_block")
-    before = F.sum("_tokens").over(turn) - F.col("_tokens")
-    placed = cut(blocks.withColumn("_left", F.col("_rest") - before).select("_source", "_block", "_left", (F.col("_left") >= F.col("_tokens")).alias("_in")))
-    joined = dealt.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, ["_source", "_block"])
-    divided = ~F.col("_in") & (F.col("_left") > 0)
-    inside = Window.partitionBy("_source", "_block").orderBy("_order", "_size")
-    last = joined.where(divided).withColumn("_extra", (F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_left")).cast("int"))
-    both = joined.where(~divided).withColumn("_extra", F.col("_in").cast("int")).unionByName(last).withColumn("copies", F.col("_whole") + F.col("_extra"))
-    return both.drop("_source", "_size", "_whole", "_rest", "_blocks", "_order", "_block", "_in", "_left", "_extra")
+    sources = F.broadcast(spark.createDataFrame(plan, "source string, mix_weight double, mix_passes double, whole int, rest long, blocks long"))  # a row a source
+    order = F.md5(F.concat_ws(":", F.lit(seed), "key").cast("binary"))
+    dealt = own.join(sources, "source").withColumn("order", order).withColumn("block", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % F.col("blocks"))
+    placed = cut(_blocks_in_turn(dealt, seed).select("source", "block", "left", (F.col("left") >= F.col("tokens")).alias("in")))
+    joined = dealt.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, ["source", "block"])
+    divided = ~F.col("in") & (F.col("left") > 0)
+    inside = Window.partitionBy("source", "block").orderBy("order", "size")
+    last = joined.where(divided).withColumn("extra", (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("left")).cast("int"))
+    both = joined.where(~divided).withColumn("extra", F.col("in").cast("int")).unionByName(last)
+    return both.select("row.*", "mix_weight", "mix_passes", (F.col("whole") + F.col("extra")).alias("copies"))
+
+
+def _blocks_in_turn(dealt: DataFrame, seed: int) -> DataFrame:
+    """source, block, tokens, left: what is left of the source's budget when its block's turn comes.
+
+    A source's blocks come in the order of a hash. The tokens before a block are those of the ranges of hashes before
+    its own, of which there are RANGES, and those before it in its range: no task orders all blocks of a source.
+    """
+    turn = F.md5(F.concat_ws(":", F.lit(seed + 1), "source", "block").cast("binary"))
+    blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("tokens"), F.first("rest").alias("rest")).withColumn("turn", turn).withColumn("range", F.substring("turn", 1, 3))
+    blocks = cut(blocks)
+    before = lambda window: F.sum("tokens").over(window) - F.col("tokens")
+    ranges = blocks.groupBy("source", "range").agg(F.sum("tokens").alias("tokens"))
+    ranges = ranges.select("source", "range", before(Window.partitionBy("source").orderBy("range")).alias("earlier"))
+    inside = before(Window.partitionBy("source", "range").orderBy("turn", "block"))
+    return blocks.withColumn("inside", inside).join(ranges, ["source", "range"]).withColumn("left", F.col("rest") - F.col("earlier") - F.col("inside"))
