@@ -168,3 +168,12 @@ def warmup_scale(step: Column, warmup: int, total: int) -> Column:
     """Of the step counted from 1: rises to 1 over the warm-up, then falls linearly to 0."""
     warmup, total = max(1, warmup), max(1, total)
     return F.when(step <= warmup, step / warmup).otherwise(F.greatest(F.lit(0.0), (total - step) / max(1, total - warmup)))
+
+
+def compact_name(child: Column, parent: Column) -> Column:
+    """The child's name without what it shares with its parent's beginning, if that is two words or more and not all."""
+    a, b = F.split(F.trim(child), r"\s+"), F.split(F.lower(F.trim(parent)), r"\s+")
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(F.lower(x) == y, F.lit(False)))
+    differs = F.array_position(same, F.lit(False)).cast("int")
+    shared = F.when(differs > 0, differs - 1).otherwise(F.size(same))
+    return F.when((shared >= 2) & (shared < F.size(a)), F.array_join(F.slice(a, shared + 1, F.size(a)), " ")).otherwise(child)

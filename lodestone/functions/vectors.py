@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(x: Column) -> Column:
@@ -65,16 +68,36 @@ def sigmoid(x: Column) -> Column:
 def hash_embedding(text: Column, width: int = 384) -> Column:
     """Counts of character trigrams of the lower-cased text between blanks, by crc32 modulo the width, at unit length.
 
-    A text that is blank gives zeros.
+    A text that is blank gives zeros. The trigrams of a batch of texts are hashed together, a byte at a time.
     """
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s+|\s+$", ""), F.lit(" "))
 
-    def embed(t: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))
-        return let(F.transform(grams, lambda g: (F.crc32(g.cast("binary")) % width).cast("int")), count)
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_trigram_counts(t, width) for t in texts])
 
-    def count(places: Column) -> Column:
-        counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-        return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda v: v / n)))
+    return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))(padded)
 
-    return let(padded, lambda t: F.when(F.length(t) > 2, embed(t)).otherwise(F.array_repeat(F.lit(0.0), width)))
+
+def _trigram_counts(text: str, width: int) -> np.ndarray:
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    start = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each character
+    if len(start) < 4:
+        return np.zeros(width)
+    first, size = start[:-3], start[3:] - start[:-3]
+    crc = np.full(len(first), 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(int(size.max())):
+        at = np.flatnonzero(size > i)
+        crc[at] = _CRC[(crc[at] ^ data[first[at] + i]) & 0xFF] ^ (crc[at] >> np.uint32(8))
+    counts = np.bincount((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(width), minlength=width).astype(np.float64)
+    return counts / np.linalg.norm(counts)
+
+
+def _crc_table() -> np.ndarray:
+    """What each byte does to a crc32, by its rule."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> np.uint32(1)) ^ np.uint32(0xEDB88320), out >> np.uint32(1))
+    return out
+
+
+_CRC = _crc_table()

@@ -1,18 +1,21 @@
-"""Clusters and trees of capabilities.
-
-Grouped statistics are DataFrame aggregates. What is sequential by nature (inserting samples into a growing tree) is a
-plain object that a driver or one stateful task carries; its size is that of the tree, not of the data.
-"""
+"""Clusters and the graph of labels. Grouped statistics are DataFrame aggregates; trees that grow are in trees.py."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
+from lodestone.operators.trees import GrowingTree, objective, risk_density, split_gate, two_means
+
+__all__ = ["GrowingTree", "objective", "risk_density", "split_gate", "two_means"]
+#: Vectors that may travel as one broadcast side.
+MOST_VECTORS = 20_000
+
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = 20) -> DataFrame:
     """Adds cluster. Lloyd's rounds as grouped means from k-means|| starts."""
@@ -25,174 +28,38 @@ def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = 2
 
 
 def best_k(rows: DataFrame, vector: str, most: int, seed: int = 42) -> list[tuple[int, float]]:
-    """(k, silhouette) for k from 2, by squared distances, best first, ties to the lesser k."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    judge = ClusteringEvaluator(featuresCol="_f", predictionCol="cluster")
-    found = []
-    for k in range(2, most + 1):
-        labelled = kmeans(rows, vector, k, seed).withColumn("_f", array_to_vector(vector))
-        found.append((k, float(judge.evaluate(labelled))))
+    """(k, silhouette) for k from 2, by squared distances, best first, ties to the lesser k; labellings with fewer than k
+    groups are left out."""
+    found = [(k, s) for k in range(2, most + 1) if (s := silhouette_of(rows, vector, k, seed)) is not None]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def split_gate(parent: float, children: list[float], bases: int, dimension: float, scale: float) -> dict:
-    """Whether a split pays: the largest child's risk density above the parent's stays below the gain in bias."""
-    before = max(1, bases)
-    after = max(before + len(children) - 1, before)
-    power = -2.0 / max(dimension, 1e-12)
-    gain = max(scale, 0.0) * (before**power - after**power)
-    delta = max(children) - parent
-    return {"risk_delta": delta, "bias_gain": gain, "accepted": delta < gain}
-
-
-def risk_density(x: np.ndarray) -> float:
-    return float(((x - x.mean(axis=0)) ** 2).sum() / len(x) / len(x)) if len(x) else 0.0
-
-
-def objective(groups: list[np.ndarray]) -> float:
-    """Sum over groups of density (n * (2 - mean distance), 2 for a single member) times mean distance to other centres."""
-    some = [g for g in groups if len(g)]
-    if len(some) < 2:
-        return 0.0
-    centers = np.array([g.mean(axis=0) for g in some])
-    apart = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2)).sum(axis=1) / (len(some) - 1)
-    dense = [2.0 if len(g) == 1 else len(g) * (2 - float(np.sqrt(((g - c) ** 2).sum(axis=1)).mean())) for g, c in zip(some, centers, strict=True)]
-    return float(np.dot(dense, apart))
-
-
-def two_means(x: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Labels 0 and 1 from the two farthest-apart starts (farthest from the mean, then from that); never an empty side."""
-    first = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax())
-    second = int(((x - x[first]) ** 2).sum(axis=1).argmax())
-    centers = x[[first, second]].copy()
-    labels = np.zeros(len(x), dtype=np.int64)
-    for _ in range(rounds):
-        far = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
-        new = far.argmin(axis=1)
-        for side in (0, 1):
-            if not (new == side).any():
-                new[int(far[:, side].argmin())] = side
-        if (new == labels).all() and _:
-            break
-        labels = new
-        centers = np.array([x[labels == side].mean(axis=0) for side in (0, 1)])
-    return labels
-
-
-@dataclass
-class Leaf:
-    name: str
-    ids: list = field(default_factory=list)
-    rows: list[np.ndarray] = field(default_factory=list)
-    most: float = math.inf
-    idle: int = 0
-
-    @property
-    def center(self) -> np.ndarray:
-        return np.mean(self.rows, axis=0)
-
-    @property
-    def array(self) -> np.ndarray:
-        return np.array(self.rows)
-
-
-class GrowingTree:
-    """Leaves under one root that grow by one sample at a time, with a decision for each.
-
-    A sample goes to the nearest leaf (ties to the older one). Farther than `reach` from all, it founds a leaf, unless
-    the objective is higher with it in the nearest. A leaf of `size` members or more is split in two if the gate, or
-    with gate=False a higher objective, allows; the children's reach shrinks by `decay`. With patience, leaves of one
-    sample that saw none for so many samples are merged into the nearest other leaf.
-    """
+def silhouette_of(rows: DataFrame, vector: str, k: int, seed: int = 42) -> float | None:
+    """The silhouette of k-means with k groups; None if fewer come of it."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
 
-    def __init__(self, reach: float, decay: float = 0.9, size: int = 20, gate: bool = True, scale: float = 1.0, patience: int = 0):
-        self.reach, self.decay, self.size, self.gate, self.scale, self.patience = reach, decay, size, gate, scale, patience
-        self.leaves: list[Leaf] = []
-        self.decisions: list[tuple] = []
-        self.made = 0
-
-    def _found(self, ids: list, rows: list[np.ndarray], reach: float) -> Leaf:
-        leaf = Leaf(f"leaf{self.made}", ids, rows, reach)
-        self.made += 1
-        self.leaves.append(leaf)
-        return leaf
-
-    def add(self, key, x: np.ndarray) -> None:
-        for leaf in self.leaves:
-            leaf.idle += 1
-        if not self.leaves:
-            self._found([key], [x], self.reach)
-            self.decisions.append((key, "create", self.leaves[-1].name))
-            return
-        near = min(self.leaves, key=lambda a: (round(float(np.linalg.norm(a.center - x)), 12), int(a.name[4:])))
-        if float(np.linalg.norm(near.center - x)) >= near.most:
-            apart = objective([a.array for a in self.leaves] + [x[None]])
-            merged = objective([np.vstack([a.array, x[None]]) if a is near else a.array for a in self.leaves])
-            if merged < apart:
-                self._found([key], [x], self.reach)
-                self.decisions.append((key, "create", self.leaves[-1].name))
-                return
-        near.ids.append(key)
-        near.rows.append(x)
-        near.idle = 0
-        self.decisions.append((key, "add", near.name))
-        if len(near.ids) >= self.size:
-            self._split(key, near)
-        if self.patience:
-            self._prune(key)
-
-    def _split(self, key, leaf: Leaf) -> None:
-        x = leaf.array
-        labels = two_means(x)
-        sides = [np.flatnonzero(labels == s) for s in (0, 1)]
-        if self.gate:
-            fine = split_gate(risk_density(x), [risk_density(x[s]) for s in sides], len(self.leaves), x.shape[1], self.scale)["accepted"]
+    labelled = kmeans(rows, vector, k, seed).withColumn("_f", array_to_vector(vector))
+    if labelled.select("cluster").distinct().count() < k:
+        return None
+    return float(ClusteringEvaluator(featuresCol="_f", predictionCol="cluster").evaluate(labelled))
+
+
+def peak_k(score: Callable[[int], float | None], start: int, step: int, most: int, patience: int) -> tuple[int, float]:
+    """(k, score) of the best k among start, start + step and so on up to `most`; the search ends after `patience` of
+    them in a row that are no better."""
+    if start > most:
+        raise ValueError(f"nothing to try: {start} is above {most}")
+    best, missed = (start, -math.inf), 0
+    for k in range(start, most + 1, step):
+        found = score(k)
+        if found is not None and found > best[1]:
+            best, missed = (k, found), 0
         else:
-            others = [a.array for a in self.leaves if a is not leaf]
-            fine = objective(others + [x[s] for s in sides]) > objective([*others, x])
-        if not fine:
-            return
-        self.leaves.remove(leaf)
-        for s in sides:
-            self._found([leaf.ids[i] for i in s], [leaf.rows[i] for i in s], min(leaf.most, leaf.most * self.decay))
-        self.decisions.append((key, "split", leaf.name))
-
-    def _prune(self, key) -> None:
-        for leaf in [a for a in self.leaves if len(a.ids) == 1 and a.idle >= self.patience]:
-            others = [a for a in self.leaves if a is not leaf]
-            if others:
-                near = min(others, key=lambda a: float(np.linalg.norm(a.center - leaf.rows[0])))
-                near.ids += leaf.ids
-                near.rows += leaf.rows
-                self.leaves.remove(leaf)
-                self.decisions.append((key, "prune", leaf.name))
-
-    def rebalance(self, rounds: int = 10) -> int:
-        """Members move to their nearest centre until none does; a leaf keeps its last member. The number of moves."""
-        moves = 0
-        for _ in range(rounds):
-            centers = np.array([a.center for a in self.leaves])
-            moved = 0
-            for i, leaf in enumerate(list(self.leaves)):
-                for k in range(len(leaf.ids) - 1, -1, -1):
-                    j = int(((centers - leaf.rows[k]) ** 2).sum(axis=1).argmin())
-                    if j != i and len(leaf.ids) > 1:
-                        self.leaves[j].ids.append(leaf.ids.pop(k))
-                        self.leaves[j].rows.append(leaf.rows.pop(k))
-                        moved += 1
-            moves += moved
-            if not moved:
+            missed += 1
+            if missed >= patience:
                 break
-        return moves
-
-
-def grow(rows: DataFrame, key: str, vector: str, tree: GrowingTree, most: int) -> GrowingTree:
-    """Insert the first `most` rows by key; the bound keeps what a driver reads fixed."""
-    for r in rows.select(key, vector).orderBy(key).limit(most).collect():
-        tree.add(r[key], np.array(r[vector], dtype=np.float64))
-    return tree
+    return best
 
 
 def prune(nodes: list[tuple[str, str | None, int]], small: int = 5, leaf: int = 1) -> list[tuple[str, str | None, int]]:
@@ -307,12 +174,36 @@ def compact_name(child: str, parent: str) -> str:
 def label_graph(vectors: DataFrame, name: str, vector: str, threshold: float, weight: float) -> DataFrame:
     """(src, dst, w): cosines from the threshold on, those between different labels times the weight, columns summing to 1.
 
-    All pairs of a bounded vocabulary: one side is broadcast.
+    All pairs of a bounded vocabulary: one side is broadcast. With more than MOST_VECTORS it is an error.
     """
     from lodestone.functions.vectors import cosine
 
+    n = vectors.count()
+    if n > MOST_VECTORS:
+        raise ValueError(f"{n} vectors do not fit a broadcast side")
     other = vectors.select(F.col(name).alias("dst"), F.col(vector).alias("y"))
     pairs = vectors.select(F.col(name).alias("src"), F.col(vector).alias("x")).join(F.broadcast(other), F.lit(True)).withColumn("s", cosine(F.col("x"), F.col("y"))).where(F.col("s") >= threshold)
     raw = pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), F.col("s")).otherwise(F.col("s") * weight).alias("w"))
     total = raw.groupBy("dst").agg(F.sum("w").alias("t"))
-    return raw.join(F.broadcast(total), "dst").select("src", "dst", (F.col("w") / F.when(F.col("t") <= 1e-12, 1.0).otherwise(F.col("t"))).alias("w"))
+    return raw.join(total, "dst").select("src", "dst", (F.col("w") / F.when(F.col("t") <= 1e-12, 1.0).otherwise(F.col("t"))).alias("w"))
+
+
+def dbscan(vectors: DataFrame, name: str, vector: str, eps: float, least: int = 1) -> DataFrame:
+    """(node, root): DBSCAN of a bounded vocabulary by cosine distance; root is the least core member of the cluster.
+
+    A core has `least` members or more within `eps`, itself among them. Cores that are near each other are one cluster;
+    any other member near a core joins the cluster with the least root, and one near none stays alone.
+    """
+    from lodestone.functions.vectors import cosine
+
+    n = vectors.count()
+    if n > MOST_VECTORS:
+        raise ValueError(f"{n} vectors do not fit a broadcast side")
+    other = vectors.select(F.col(name).alias("b"), F.col(vector).alias("y"))
+    near = vectors.select(F.col(name).alias("a"), F.col(vector).alias("x")).join(F.broadcast(other), F.lit(True)).where(1 - cosine(F.col("x"), F.col("y")) <= eps).select("a", "b")
+    cores = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node"))
+    between = near.join(cores.withColumnRenamed("node", "a"), "a", "left_semi").join(cores.withColumnRenamed("node", "b"), "b", "left_semi")
+    roots = graph.components(cores, between)
+    border = near.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+    found = vectors.select(F.col(name).alias("node")).join(roots, "node", "left").join(border, "node", "left")
+    return found.select("node", F.coalesce("root", "near", "node").alias("root"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import cut
@@ -43,3 +43,18 @@ def closure(walked: DataFrame) -> DataFrame:
     """(ancestor, node, distance), a node being its own ancestor at distance 0: paths taken apart, without a join."""
     each = walked.select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
     return each.select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def parent_options(walked: DataFrame, sizes: DataFrame, candidates: DataFrame, asked: str, most: int = 12, hops: int = 4, top: int = 6) -> DataFrame:
+    """(asked, node, rank): where new nodes may be founded, given candidates (asked, node) for each question.
+
+    The root, the first nodes below it, and the candidates with their ancestors fewer than `hops` steps up; by depth,
+    then by size (node, n), most first.
+    """
+    near = closure(walked).where(F.col("distance") < hops).join(candidates, "node").select(asked, F.col("ancestor").alias("node"))
+    first = Window.partitionBy("parent").orderBy("node")
+    broad = walked.where("depth = 0").select("node").unionByName(walked.where("depth = 1").withColumn("at", F.row_number().over(first)).where(F.col("at") <= top).select("node"))
+    every = near.unionByName(candidates.select(asked).distinct().join(F.broadcast(broad)).select(asked, "node")).distinct()
+    order = Window.partitionBy(asked).orderBy("depth", F.desc("n"), "node")
+    ranked = every.join(walked.select("node", "depth"), "node").join(sizes, "node").withColumn("rank", F.row_number().over(order).cast("int"))
+    return ranked.where(F.col("rank") <= most).select(asked, "node", "rank")

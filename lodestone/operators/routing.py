@@ -36,8 +36,8 @@ def route(rows: DataFrame, key: str, vector: str, targets: DataFrame, target: st
 
 
 def distance_to(members: DataFrame, group: str, vector: str, centers: DataFrame) -> DataFrame:
-    """Members with their group's centre (c) and their distance to it (d). Groups are few: one broadcast row each."""
-    joined = members.join(F.broadcast(centers.select(group, "c")), group)
+    """Members with their group's centre (c) and their distance to it (d). Few groups are broadcast, by their size."""
+    joined = members.join(centers.select(group, "c"), group)
     return joined.withColumn("d", vectors.euclidean(F.col(vector), F.col("c")))
 
 

@@ -24,13 +24,13 @@ def late_fusion(routed: DataFrame, weak: float = 0.1) -> DataFrame:
 def deviation_gain(losses: DataFrame, threshold: float = 3.0, smoothness: float = 1.0, least_std: float = 1e-6) -> DataFrame:
     """(id, cap, val) of rows (id, cap, base, cond): the standardised fall of the loss, damped where the loss stays high.
 
-    Mean and population deviation are of all rows of a capability: two small aggregates, broadcast back.
+    Mean and population deviation are of all rows of a capability: two small aggregates, joined back.
     """
     d = losses.withColumn("dev", F.col("base") - F.col("cond"))
     stats = d.groupBy("cap").agg(F.avg("dev").alias("mu"), F.greatest(F.stddev_pop("dev"), F.lit(least_std)).alias("sd"))
     gain = vectors.sigmoid((F.col("dev") - F.col("mu")) / F.col("sd"))
     penalty = 1 - vectors.sigmoid((F.col("cond") - threshold) / max(smoothness, 1e-8))
-    return d.join(F.broadcast(stats), "cap").select("id", "cap", F.greatest(F.lit(0.0), gain * penalty).alias("val"))
+    return d.join(stats, "cap").select("id", "cap", F.greatest(F.lit(0.0), gain * penalty).alias("val"))
 
 
 def dry_run_losses(scores: DataFrame) -> DataFrame:
@@ -151,6 +151,6 @@ def anchor_reward(samples: DataFrame, anchors: DataFrame, beta: DataFrame) -> Da
     samples: id, v, caps (array); anchors: cap, g; beta: cap, w. Anchors are as few as capabilities.
     """
     table = anchors.join(beta, "cap").where("w > 0").select("cap", vectors.normalized(F.col("g")).alias("g"), "w")
-    each = samples.select("id", vectors.normalized(F.col("v")).alias("v"), F.explode("caps").alias("cap")).join(F.broadcast(table), "cap")
+    each = samples.select("id", vectors.normalized(F.col("v")).alias("v"), F.explode("caps").alias("cap")).join(table, "cap")
     found = each.groupBy("id").agg((F.sum(F.col("w") * vectors.dot(F.col("v"), F.col("g"))) / F.sum("w")).alias("reward"))
     return samples.select("id").join(found, "id", "left").select("id", F.coalesce("reward", F.lit(0.0)).alias("reward"))

@@ -15,19 +15,38 @@ from lodestone.sources.tables import cut
 Vector = dict[int, float]
 
 
+#: Rows that one task may sort for a limit; more are found by positions over sorted ranges.
+MOST_SORTED = 100_000
+#: Vectors that a greedy selection may hold on the driver; beyond it each choice is an aggregate over all rows.
+MOST_HELD = 200_000
+
+
+def first_rows(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first k rows in an order, which has no ties; with `position` from 0."""
+    if k > MOST_SORTED:
+        return positions(rows, *order).where(F.col("position") < k)
+    best = rows.orderBy(*order).limit(max(0, k))
+    return best.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+
+
 def scalar_topk(rows: DataFrame, scalar: str, position: str, k: int) -> DataFrame:
     """The k rows with the largest scalar, nulls last, ties by position; adds selection_rank from 1."""
-    best = rows.orderBy(F.desc_nulls_last(scalar), position).limit(max(0, k))
-    return best.withColumn("selection_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(scalar), position)).cast("int"))
+    place = f"_{position}"
+    best = first_rows(rows.withColumn(place, F.col(position)), k, F.desc_nulls_last(scalar), F.col(place))
+    ranked = best.withColumn("selection_rank", (F.col("position") + 1).cast("int"))
+    return (ranked.drop("position") if position != "position" else ranked.withColumn("position", F.col(place))).drop(place)
 
 
-def lazy_greedy(rows: DataFrame, k: int, first_gain: str, gain: Callable[[Vector, Vector], float], page: int = 2_000) -> list[tuple[int, float]]:
+def lazy_greedy(rows: DataFrame, k: int, first_gain: str, gain: Callable[[Vector, Vector], float], page: int = 2_000, step_gain: Callable[[Column, Column], Column] | None = None, most: int = MOST_HELD) -> list[tuple[int, float]]:
     """(position, gain) of k rows, each the best given those before it.
 
     rows: position, vector (map of int to double), and the column of gains before anything is chosen. Gains must only
     fall as totals grow (a submodular objective), so that a gain computed earlier is an upper bound. Rows reach the
     driver page by page, largest first gain first, and only while some row that it has not seen could still win; it
     holds the pages read and the totals. Ties: gain (to 12 places), then the vector's sum, then position.
+
+    Where that would take more than `most` rows, as with first gains that are all alike, the driver lets them go and
+    each further choice is a maximum over all rows; step_gain is then the gain of one entry, given it and its total.
     """
     ordered = cut(rows.select("position", "vector", F.col(first_gain).alias("g")))
     total = ordered.count()
@@ -55,6 +74,8 @@ def lazy_greedy(rows: DataFrame, k: int, first_gain: str, gain: Callable[[Vector
     unseen = more() if k > 0 else -math.inf
     while heap and len(out) < k:
         if -heap[0][0] <= round(unseen, 12) and unseen > -math.inf:
+            if step_gain is not None and read + page > most:
+                return out + _greedy_rounds(ordered, k - len(out), {p for p, _ in out}, totals, step_gain)
             unseen = more()
             continue
         g, s, position, step = heapq.heappop(heap)
@@ -68,27 +89,55 @@ def lazy_greedy(rows: DataFrame, k: int, first_gain: str, gain: Callable[[Vector
     return out
 
 
+def _greedy_rounds(rows: DataFrame, k: int, chosen: set[int], totals: Vector, step_gain: Callable[[Column, Column], Column]) -> list[tuple[int, float]]:
+    """The same choices, one aggregate each: totals and what is chosen are as small as dimensions and the budget."""
+    spark, out = rows.sparkSession, []
+    taken = set(chosen)
+    for _ in range(k):
+        gone = spark.createDataFrame([(p,) for p in sorted(taken)], "position long")
+        known = F.create_map(*[F.lit(x) for i, t in sorted(totals.items()) for x in (i, t)]) if totals else F.create_map().cast("map<int,double>")
+        entry = lambda e, known=known: step_gain(e["value"], F.coalesce(F.element_at(known, e["key"]), F.lit(0.0)))
+        add = lambda f: F.aggregate(F.array_sort(F.map_entries("vector")), F.lit(0.0), lambda a, e: a + f(e))
+        value = F.struct(F.round(add(entry), 12).alias("gain"), F.round(add(lambda e: e["value"]), 12).alias("sum"), (-F.col("position")).alias("minus"))
+        best = rows.join(gone, "position", "left_anti").agg(F.max_by(F.struct("position", "vector", value.alias("v")), value).alias("b")).first()["b"]
+        if best is None:
+            break
+        out.append((best["position"], best["v"]["gain"] or 0.0))
+        taken.add(best["position"])
+        for i, x in (best["vector"] or {}).items():
+            totals[i] = totals.get(i, 0.0) + x
+    return out
+
+
 def coverage_gain(vector: Vector, totals: Vector) -> float:
     return sum(math.log1p(totals.get(i, 0.0) + x) - math.log1p(totals.get(i, 0.0)) for i, x in sorted(vector.items()))
 
 
-def vector_greedy(rows: DataFrame, k: int, page: int = 2_000) -> list[tuple[int, float]]:
+def vector_greedy(rows: DataFrame, k: int, page: int = 2_000, most: int = MOST_HELD) -> list[tuple[int, float]]:
     """Maximise the sum of log(1 + total) over dimensions. rows: position, vector of positive entries."""
     first = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + F.log1p(x))
-    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", coverage_gain, page)
+    step = lambda x, t: F.log1p(t + x) - F.log1p(t)
+    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", coverage_gain, page, step, most)
 
 
-def mig_greedy(rows: DataFrame, k: int, page: int = 2_000, a: float = 1.0, b: float = 0.8) -> list[tuple[int, float]]:
-    """Maximum information gain by first-order gains: the product with the derivative of (x + a)^b at the totals.
+def mig_greedy(rows: DataFrame, k: int, page: int = 2_000, a: float = 1.0, b: float = 0.8, phi: str = "pow", alpha: float = 1.0) -> list[tuple[int, float]]:
+    """Maximum information gain by first-order gains: the product with a derivative at the totals.
 
-    rows: position, vector already propagated over the label graph. The derivative falls as totals grow for b <= 1.
+    rows: position, vector already propagated over the label graph. phi `pow` is (x + a)^b, `exp` is 1 - e^(-alpha x);
+    both derivatives fall as totals grow, for b <= 1.
     """
+    if phi not in ("pow", "exp"):
+        raise ValueError(f"phi is pow or exp, not {phi}")
+
+    def slope(total: float) -> float:
+        return b * (total + a) ** (b - 1) if phi == "pow" else alpha * math.exp(-alpha * total)
 
     def gain(vector: Vector, totals: Vector) -> float:
-        return sum(x * b * (totals.get(i, 0.0) + a) ** (b - 1) for i, x in sorted(vector.items()))
+        return sum(x * slope(totals.get(i, 0.0)) for i, x in sorted(vector.items()))
 
-    first = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda s, x: s + x * (b * a ** (b - 1)))
-    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", gain, page)
+    step = lambda x, t: x * (b * F.pow(t + a, b - 1) if phi == "pow" else alpha * F.exp(-alpha * t))
+    first = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda s, x: s + x * slope(0.0))
+    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", gain, page, step)
 
 
 #: Candidate rows of diverse sampling that may come to the driver.
@@ -152,7 +201,7 @@ def _filled(left: DataFrame, taken: DataFrame, n: int, k: int) -> DataFrame:
     """Rows that are left, in order, up to k."""
     if n >= k:
         return taken
-    rest = left.join(F.broadcast(taken.select("position")), "position", "left_anti").orderBy("o").limit(k - n)
+    rest = left.join(taken.select("position"), "position", "left_anti").orderBy("o").limit(k - n)
     return taken.unionByName(rest.select("position", (F.row_number().over(Window.orderBy("o")) + n).cast("int").alias("chosen")))
 
 
@@ -187,20 +236,21 @@ def uniform_quotas(sizes: DataFrame, group: str, size: str, budget: int) -> Data
 def sample_by_quota(rows: DataFrame, key: str, group: str, plan: DataFrame, budget: int, seed: int = 42) -> DataFrame:
     """Rows of each group up to its quota, in hash order; what is missing to the budget comes from all others, likewise.
 
-    The plan has a row a group and is broadcast; the largest quota bounds what each group sends to the window.
+    The plan has a row a group; the largest quota bounds what each group sends to the window.
     """
     most = plan.agg(F.max("quota").alias("q")).first()["q"] or 0
-    top = top_of_each(rows, group, most, hash_order(key, seed), F.col(key)).join(F.broadcast(plan.select(group, "quota")), group)
+    top = top_of_each(rows, group, most, hash_order(key, seed), F.col(key)).join(plan.select(group, "quota"), group)
     picked = cut(top.where(F.col("rank_in_group") <= F.col("quota")).drop("rank_in_group", "quota"))
     missing = budget - picked.count()
     if missing <= 0:
         return picked
-    others = rows.join(picked.select(key), key, "left_anti").orderBy(hash_order(key, seed), key).limit(missing)
+    others = simple_sample(rows.join(picked.select(key), key, "left_anti"), key, missing, seed)
     return picked.unionByName(others.select(*picked.columns))
 
 
 def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return rows.orderBy(hash_order(key, seed), key).limit(n)
+    """The first n rows in hash order."""
+    return first_rows(rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("key")), n, hash_order("key", seed), F.col("key")).select("row.*")
 
 
 def split(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:

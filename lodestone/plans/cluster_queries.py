@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import vectors
-from lodestone.operators import clusters, graph, routing
+from lodestone.functions import texts, vectors
+from lodestone.operators import clusters, graph, routing, trees
 from lodestone.plans.registry import register
 from lodestone.plans.relational_queries import _DIST, _distances
 from lodestone.sources.tables import CENTROIDS_SQL, table
@@ -26,9 +26,16 @@ def _tree(spark, folder):
     return root.unionByName(regions).unionByName(nations), members
 
 
-def _sample(spark, folder, n=200):
-    rows = read_vectors(spark, folder).orderBy("vec_id").limit(n).collect()
-    return [r["vec_id"] for r in rows], np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows])
+def _numbered(tree):
+    return [(i, int(k), what, leaf) for i, (k, what, leaf) in enumerate(tree.decisions)]
+
+
+_DECISIONS = "step int, vec_id long, decision string, node string"
+
+
+def _grown(spark, folder, make, tell, schema, **how):
+    """What is told of the trees that all vectors grow, part by part."""
+    return trees.grow(read_vectors(spark, folder), "vec_id", "v", make, tell, schema, **how)
 
 
 @register("c1_kmeans")
@@ -50,14 +57,17 @@ def split_gate(spark, folder):
     return r.join(other, F.col("child") == (F.col("label") + 1) % 10).select(F.col("label").alias("parent"), F.col("child").cast("int").alias("child"), (F.col("q") - F.col("r") < gain).alias("accepted"))
 
 
-def _decisions(spark, tree):
-    return spark.createDataFrame([(i, int(k), what, leaf) for i, (k, what, leaf) in enumerate(tree.decisions)], "step int, vec_id long, decision string, leaf string")
-
-
 @register("c4_incremental")
 def incremental(spark, folder):
-    """Add, create and split decisions of the first 300 samples; split by the gate."""
-    return _decisions(spark, clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.1, scale=5.0), 300))
+    """Add, create and split decisions for all samples; split by the gate. Every seventh comes with a router's reply."""
+    rows = read_vectors(spark, folder).withColumn("reply", F.when(F.col("vec_id") % 7 == 0, "new:root").when(F.col("vec_id") % 7 == 1, "leaf0"))
+    return trees.grow(rows, "vec_id", "v", lambda: trees.GrowingTree(1.1, scale=5.0), _numbered, _DECISIONS, reply="reply")
+
+
+@register("c5_warm_tree")
+def warm_tree(spark, folder):
+    """Trees whose first fifty samples are leaves by k-means."""
+    return _grown(spark, folder, lambda: trees.GrowingTree(1.1, scale=5.0), _numbered, _DECISIONS, warm=50)
 
 
 @register("c5_warm_start")
@@ -70,8 +80,10 @@ def warm_start(spark, folder):
 
 @register("c6_stale_leaves")
 def stale_leaves(spark, folder):
-    tree = clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(0.9, patience=40), 200)
-    return _decisions(spark, tree).where("decision = 'prune'")
+    """Leaves of one sample that saw no other for forty samples, as they go."""
+    rows = read_vectors(spark, folder).withColumn("reply", F.when(F.col("vec_id") % 11 == 0, "new:root"))
+    grown = trees.grow(rows, "vec_id", "v", lambda: trees.GrowingTree(0.9, patience=40), _numbered, _DECISIONS, reply="reply")
+    return grown.where("decision = 'prune'")
 
 
 @register("c7_nearest_leaf", f"WITH {CENTROIDS_SQL} SELECT vec_id, arg_min(c.label, (round(list_distance(v, c.c), 9), c.label)) AS leaf FROM e CROSS JOIN c GROUP BY vec_id")
@@ -84,26 +96,31 @@ def nearest_leaf(spark, folder):
 
 @register("c8_objective_split")
 def objective_split(spark, folder):
-    return _decisions(spark, clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.1, gate=False), 200))
+    """Splits where the objective gains by them."""
+    return _grown(spark, folder, lambda: trees.GrowingTree(1.1, gate=False), _numbered, _DECISIONS)
 
 
 @register("c9_hierarchy")
 def hierarchy(spark, folder):
-    tree = clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.0, decay=0.8, gate=False), 200)
-    return spark.createDataFrame([(a.name, len(a.ids), round(a.most, 6)) for a in tree.leaves], "leaf string, n int, reach double")
+    """The nodes of hierarchies of three levels."""
+    return _grown(spark, folder, lambda: trees.LayeredTree(1.4, layers=4), lambda tree: [(n, p, d, own, below, round(r, 6)) for n, p, d, own, below, r in tree.rows()], "node string, parent string, depth int, own int, below int, reach double")
+
+
+def _rebalanced(tree):
+    tree.rebalance()
+    return [(node, int(i)) for node, _, i in tree.members()]
 
 
 @register("c10_rebalance")
 def rebalance(spark, folder):
-    tree = clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.0), 200)
-    tree.rebalance()
-    return spark.createDataFrame([(a.name, int(i)) for a in tree.leaves for i in a.ids], "leaf string, vec_id long")
+    return _grown(spark, folder, lambda: trees.GrowingTree(1.0), _rebalanced, "node string, vec_id long")
 
 
 @register("c11_two_means")
 def two_means(spark, folder):
-    ids, x, _ = _sample(spark, folder)
-    return spark.createDataFrame([(i, int(s)) for i, s in zip(ids, clusters.two_means(x), strict=True)], "vec_id long, side int")
+    """The two sides of every part."""
+    sides = lambda frame: list(zip(frame["vec_id"].tolist(), trees.two_means(trees.matrix(frame["v"])).tolist(), strict=True))
+    return trees.in_parts(read_vectors(spark, folder), "vec_id", ["v"], sides, "vec_id long, side int")
 
 
 @register("c12_prune")
@@ -118,7 +135,11 @@ def prune(spark, folder):
 
 @register("c13_peak_k")
 def peak_k(spark, folder):
-    return spark.createDataFrame([clusters.best_k(read_vectors(spark, folder), "v", 3)[0]], "k int, silhouette double").select("k", F.round("silhouette", 6).alias("silhouette"))
+    """The best k by steps of two from 2, until one is no better."""
+    v = read_vectors(spark, folder).cache()
+    k, found = clusters.peak_k(lambda k: clusters.silhouette_of(v, "v", k), 2, 2, 8, 1)
+    v.unpersist()
+    return spark.createDataFrame([(k, round(found, 6))], "k int, silhouette double")
 
 
 @register("c14_agglomerative")
@@ -129,11 +150,15 @@ def agglomerative(spark, folder):
     return spark.createDataFrame([(r["label"], kind, labels[i]) for kind, labels in found.items() for i, r in enumerate(c)], "label int, linkage string, cluster int")
 
 
+def _stable(frame):
+    x = trees.matrix(frame["v"])
+    groups = clusters.stabilise(x, frame["label"].to_numpy(), x.mean(axis=0), 0.2, 0.05, 0.9)
+    return list(zip(frame["vec_id"].tolist(), groups.tolist(), strict=True))
+
+
 @register("c15_stabilise")
 def stabilise(spark, folder):
-    ids, x, labels = _sample(spark, folder)
-    out = clusters.stabilise(x, labels, x.mean(axis=0), 0.2, 0.05, 0.9)
-    return spark.createDataFrame([(i, int(g)) for i, g in zip(ids, out, strict=True)], "vec_id long, cluster int")
+    return trees.in_parts(read_vectors(spark, folder), "vec_id", ["label", "v"], _stable, "vec_id long, cluster int")
 
 
 @register("c16_dbscan", "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, c_nationkey % 7 + 100 AS b FROM customer), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT x AS node, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.node) SELECT CAST(node AS BIGINT) AS node, CAST(min(root) AS BIGINT) AS root FROM r GROUP BY node")
@@ -144,10 +169,16 @@ def dbscan(spark, folder):
     return graph.components(nodes, e)
 
 
-@register("c17_medoids", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200), d AS (SELECT a.label, a.vec_id, avg(1 - list_cosine_similarity(a.v, b.v)) AS d FROM e a JOIN e b USING (label) GROUP BY ALL) SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS medoid FROM d GROUP BY label")
+@register("c16b_dbscan_distance", f"WITH RECURSIVE {CENTROIDS_SQL}, p AS (SELECT a.label AS a, b.label AS b FROM c a CROSS JOIN c b WHERE 1 - list_cosine_similarity(a.c, b.c) <= 0.95), k AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 4), r AS (SELECT a AS node, a AS root FROM k UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node WHERE p.b IN (SELECT a FROM k)), m AS (SELECT node, min(root) AS root FROM r GROUP BY node), n AS (SELECT p.a AS node, min(m.root) AS root FROM p JOIN m ON m.node = p.b GROUP BY p.a) SELECT c.label AS node, coalesce(m.root, n.root, c.label) AS root FROM c LEFT JOIN m ON m.node = c.label LEFT JOIN n ON n.node = c.label")
+def dbscan_distance(spark, folder):
+    """The labels' centroids within 0.95 of each other, four of them a core."""
+    return clusters.dbscan(routing.centroids(read_vectors(spark, folder), "label", "v"), "label", "c", 0.95, 4)
+
+
+@register("c17_medoids", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.label, a.vec_id, avg(1 - list_cosine_similarity(a.v, b.v)) AS d FROM e a JOIN e b USING (label) GROUP BY ALL) SELECT label, arg_min(vec_id, (round(d, 9), vec_id)) AS medoid FROM d GROUP BY label")
 def medoids(spark, folder):
     """The member with the least mean cosine distance to its cluster: by linearity one dot product with the unit vectors' sum."""
-    v = read_vectors(spark, folder).where("vec_id < 200").select("vec_id", "label", vectors.normalized(F.col("v")).alias("u"))
+    v = read_vectors(spark, folder).select("vec_id", "label", vectors.normalized(F.col("v")).alias("u"))
     mean = routing.centroids(v, "label", "u")
     d = v.join(F.broadcast(mean), "label").select("label", "vec_id", F.round(1 - vectors.dot(F.col("u"), F.col("c")), 9).alias("d"))
     return d.groupBy("label").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("medoid"))
@@ -181,9 +212,7 @@ def subtree_ids(spark, folder):
 @register("c22_compact_names", "SELECT p_partkey, CASE WHEN starts_with(p_type, 'STANDARD BRUSHED ') THEN substr(p_type, 18) ELSE p_type END AS name FROM part")
 def compact_names(spark, folder):
     """What a child's name shares with its parent's, two words or more, goes."""
-    name = F.udf(lambda s: clusters.compact_name(s, "STANDARD BRUSHED"), "string", useArrow=True)
-    kinds = table(spark, folder, "part").select("p_type").distinct().withColumn("name", name("p_type"))
-    return table(spark, folder, "part").join(F.broadcast(kinds), "p_type").select("p_partkey", "name")
+    return table(spark, folder, "part").select("p_partkey", texts.compact_name(F.col("p_type"), F.lit("STANDARD BRUSHED")).alias("name"))
 
 
 @register("c23_tree_fields", f"WITH RECURSIVE {_TREE}, {_WALK}, c AS (SELECT node, unnest(path) AS a FROM w), k AS (SELECT parent AS node, count(*) AS children FROM t WHERE parent IS NOT NULL GROUP BY parent) SELECT c.a AS node, coalesce(any_value(k.children), 0) AS children_count, count(m.id) AS subtree_size, count(m.id) FILTER (c.node = c.a) AS own FROM c LEFT JOIN m ON m.node = c.node LEFT JOIN k ON k.node = c.a GROUP BY c.a")
@@ -196,17 +225,23 @@ def tree_fields(spark, folder):
     return sizes.join(children, "node", "left").select("node", F.coalesce("children_count", F.lit(0)).alias("children_count"), "subtree_size", "own")
 
 
-@register("c24_virtual_merge")
-def virtual_merge(spark, folder):
-    """The objective with each of the first twenty samples apart, or in its nearest cluster."""
-    ids, x, labels = _sample(spark, folder)
-    rest = [x[20:][labels[20:] == g] for g in np.unique(labels[20:])]
-    out = []
-    for i in range(20):
+def _merged(frame):
+    """The objective of a part's labels with each sample, taken out, on its own and in its nearest label."""
+    x, labels = trees.matrix(frame["v"]), frame["label"].to_numpy()
+    groups, out = {g: np.flatnonzero(labels == g) for g in np.unique(labels)}, []
+    for i, key in enumerate(frame["vec_id"].tolist()):
+        rest = [x[at[at != i]] for at in groups.values() if len(at[at != i])]
+        if not rest:
+            continue
         near = int(np.argmin([np.linalg.norm(g.mean(axis=0) - x[i]) for g in rest]))
         merged = [np.vstack([g, x[i][None]]) if k == near else g for k, g in enumerate(rest)]
-        out.append((ids[i], round(clusters.objective([*rest, x[i][None]]), 5), round(clusters.objective(merged), 5)))
-    return spark.createDataFrame(out, "vec_id long, apart double, merged double")
+        out.append((key, round(trees.objective([*rest, x[i][None]]), 5), round(trees.objective(merged), 5)))
+    return out
+
+
+@register("c24_virtual_merge")
+def virtual_merge(spark, folder):
+    return trees.in_parts(read_vectors(spark, folder), "vec_id", ["label", "v"], _merged, "vec_id long, apart double, merged double")
 
 
 @register("c25_capped_reach", f"WITH RECURSIVE {_TREE}, w AS (SELECT node, length(node) * 1.0 AS reach FROM t WHERE parent IS NULL UNION ALL SELECT t.node, least(w.reach, length(t.node)) FROM t JOIN w ON t.parent = w.node) SELECT node, CAST(reach AS DOUBLE) AS reach FROM w")
@@ -248,6 +283,15 @@ def eligible_centroids(spark, folder):
 
 @register("c27_tree_state")
 def tree_state(spark, folder):
-    """The leaves that a grown tree holds at the end, with their members."""
-    tree = clusters.grow(read_vectors(spark, folder), "vec_id", "v", clusters.GrowingTree(1.1, scale=5.0), 200)
-    return spark.createDataFrame([(a.name, int(i), at) for a in tree.leaves for at, i in enumerate(a.ids)], "leaf string, vec_id long, at int")
+    """The nodes that grown trees hold at the end, with their members."""
+    return _grown(spark, folder, lambda: trees.GrowingTree(1.1, scale=5.0), lambda tree: [(node, int(i), at) for node, at, i in tree.members()], "node string, vec_id long, at int")
+
+
+@register("o28b_parent_options", f"WITH RECURSIVE {_TREE}, {_WALK}, n AS (SELECT c.a AS node, count(m.id) AS n FROM (SELECT node, unnest(path) AS a FROM w) c LEFT JOIN m ON m.node = c.node GROUP BY c.a), o AS (SELECT r_regionkey AS asked, node, depth, n FROM region, w JOIN n USING (node) WHERE depth < 2 OR parent = 'r' || CAST(r_regionkey AS VARCHAR)) SELECT asked, node, CAST(row_number() OVER (PARTITION BY asked ORDER BY depth, n DESC, node) AS INT) AS rank FROM o QUALIFY rank <= 8")
+def parent_options(spark, folder):
+    """Where a new node may go if a region's nations are the candidates: they, what is above them, and the top level."""
+    nodes, members = _tree(spark, folder)
+    walked = graph.walk(nodes)
+    counts = graph.closure(walked).join(members.groupBy("node").agg(F.count("*").alias("m")), "node", "left").groupBy(F.col("ancestor").alias("node")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    candidates = table(spark, folder, "nation").select(F.col("n_regionkey").alias("asked"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return graph.parent_options(walked, counts, candidates, "asked", most=8)

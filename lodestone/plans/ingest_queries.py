@@ -272,11 +272,10 @@ def gold_present(spark, folder):
     return samples(spark, folder).where(texts.stripped(F.col("output")) != "").select("doc_id")
 
 
-@register("f12_focus_capabilities", "SELECT DISTINCT label FROM embeddings WHERE vec_id < 100")
+@register("f12_focus_capabilities", "SELECT DISTINCT vec_id // 100 AS chunk, label FROM embeddings")
 def focus_capabilities(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", "label")
-    chunk = e.where("vec_id < 100").select("label").distinct()
-    return e.select("label").distinct().join(F.broadcast(chunk), "label", "left_semi")
+    """The capabilities that each chunk of a hundred rows has in its routing."""
+    return table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("chunk"), "label").distinct()
 
 
 @register("f14_cjk", "SELECT doc_id, regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]') AS cjk FROM documents")

@@ -89,6 +89,17 @@ def centroids(spark, folder):
     return files.read_centroids(spark, path).select("node_id", F.round(F.col("c")[0], 6).alias("first"))
 
 
+@register("s10b_tree_centroids", f"WITH {CENTROIDS_SQL} SELECT 'leaf' || CAST(label AS VARCHAR) AS node_id, round(c[1], 6) AS first FROM c")
+def tree_centroids(spark, folder):
+    """The leaves of a tree that was written as one JSON document."""
+    path = f"{scratch(spark)}/tree.json"
+    c = routing.centroids(read_vectors(spark, folder), "label", "v")
+    leaf = F.struct(F.concat(F.lit("leaf"), "label").alias("node_id"), F.col("n").alias("data_count"), F.col("c").alias("leaf_center_vector"))
+    root = F.struct(F.lit("root").alias("node_id"), F.sum("n").alias("data_count"), F.collect_list(leaf).alias("children"))
+    c.agg(F.to_json(root).alias("value")).coalesce(1).write.text(path)
+    return files.read_tree_centroids(spark, path).select("node_id", F.round(F.col("c")[0], 6).alias("first"))
+
+
 @register("s11_folder_labels", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
 def folder_labels(spark, folder):
     path = scratch(spark)

@@ -73,7 +73,7 @@ def descriptors(spark, folder):
     nation = table(spark, folder, "nation")
     by_node = nation.where("n_nationkey < 15").select(F.col("n_nationkey").alias("node"), "n_name")
     by_index = nation.select(F.col("n_nationkey").alias("node"), F.concat(F.lit("index "), F.col("n_nationkey").cast("string")).alias("other"))
-    j = x.join(F.broadcast(by_node), "node", "left").join(F.broadcast(by_index), "node", "left")
+    j = x.join(by_node, "node", "left").join(by_index, "node", "left")
     return j.select("vec_id", "rank", F.coalesce("n_name", "other").alias("name")).where("name is not null")
 
 
@@ -104,7 +104,7 @@ def tag_cosines(spark, folder):
 def tag_clusters(spark, folder):
     tagged = table(spark, folder, "orders").select("o_custkey", "o_orderpriority")
     clusters = tagged.select("o_orderpriority").distinct().withColumn("cluster", F.substring("o_orderpriority", 1, 1).cast("int"))
-    return tagged.distinct().join(F.broadcast(clusters), "o_orderpriority").groupBy("o_custkey").agg(F.array_sort(F.collect_set("cluster")).alias("clusters"))
+    return tagged.distinct().join(clusters, "o_orderpriority").groupBy("o_custkey").agg(F.array_sort(F.collect_set("cluster")).alias("clusters"))
 
 
 @register("j11_members_profiles", "SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS matched, count(*) FILTER (l.doc_id IS NULL) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -250,9 +250,9 @@ def dimension_stats(spark, folder):
     return flat.groupBy((F.col("i") + 1).cast("long").alias("i")).agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.greatest(F.stddev_pop("x"), F.lit(1e-6)), 6).alias("std"))
 
 
-@register("a14_dimension_totals", "SELECT CAST(i AS INT) AS cap, round(sum(CAST(embedding[i + 1] AS DOUBLE)), 5) AS total FROM embeddings, range(64) t(i) WHERE embedding[i + 1] > 0 AND vec_id < 50 GROUP BY i")
+@register("a14_dimension_totals", "SELECT CAST(i AS INT) AS cap, round(sum(CAST(embedding[i + 1] AS DOUBLE)), 5) AS total FROM embeddings, range(64) t(i) WHERE embedding[i + 1] > 0 GROUP BY i")
 def dimension_totals(spark, folder):
-    flat = table(spark, folder, "embeddings").where("vec_id < 50").select(F.posexplode("embedding").alias("cap", "x")).where("x > 0")
+    flat = table(spark, folder, "embeddings").select(F.posexplode("embedding").alias("cap", "x")).where("x > 0")
     return flat.groupBy("cap").agg(F.round(F.sum(F.col("x").cast("double")), 5).alias("total"))
 
 

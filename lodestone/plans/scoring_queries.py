@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import texts, vectors
-from lodestone.operators import ingest, routing, scoring
+from lodestone.operators import ingest, models, routing, scoring
 from lodestone.plans.registry import register
 from lodestone.plans.relational_queries import _ROUTE, routed
 from lodestone.sources.tables import CENTROIDS_SQL, VECTORS_SQL, table
@@ -156,7 +156,7 @@ def multiplicative(spark, folder):
     return spark.createDataFrame([(k, round(a, 6)) for k, a in enumerate(alpha)], "method int, alpha double")
 
 
-@register("u11b_prototype_update")
+@register("u11b_prototype_update", f"WITH {VECTORS_SQL}, u AS (SELECT i, avg(v[i] * v[5]) AS u FROM e, range(1, 5) t(i) GROUP BY i), r AS (SELECT i, exp(0.8 * (u - avg(u) OVER ())) AS r FROM u), m AS (SELECT i, greatest(0.125 + 0.5 * r / sum(r) OVER (), 0.05) AS m FROM r) SELECT CAST(i - 1 AS INT) AS method, round(0.95 * m / sum(m) OVER () + 0.0125, 6) AS alpha FROM m")
 def prototype_update(spark, folder):
     """Centred utilities, averaged over time, through a softmax with step size, floor and mixing."""
     batch = read_vectors(spark, folder).select(F.slice("v", 1, 4).alias("metrics"), F.col("v")[4].alias("reward"))
@@ -183,9 +183,9 @@ def loaded_weights(spark, folder):
     return spark.createDataFrame(list(enumerate(scoring.normalized_weights([3.0, -1.0, 1.0], 4))), "i int, w double")
 
 
-@register("u13_anchor_groups", "SELECT label AS cap, vec_id FROM embeddings WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5")
+@register("u13_anchor_groups", "SELECT label AS cap, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5")
 def anchor_groups(spark, folder):
-    rows = table(spark, folder, "embeddings").where("vec_id % 2 = 0").select(F.coalesce(F.when(F.col("label") % 2 == 0, F.col("label")), "label").alias("cap"), "vec_id")
+    rows = table(spark, folder, "embeddings").select(F.coalesce(F.when(F.col("label") % 2 == 0, F.col("label")), "label").alias("cap"), "vec_id")
     return ingest.top_of_each(rows, "cap", 5, F.col("vec_id")).select("cap", "vec_id")
 
 
@@ -213,10 +213,18 @@ def four_metric(spark, folder):
 
 @register("u17_response_loss", "SELECT conv_id, round(avg(length(text)) FILTER (role = 'assistant'), 6) AS loss FROM conversations GROUP BY conv_id")
 def response_loss(spark, folder):
-    """Mean loss over the tokens of responses alone; token losses stand in for a model's."""
+    """Mean loss over responses alone; their length stands in for a model's loss."""
     return table(spark, folder, "conversations").groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("role") == "assistant", F.length("text"))), 6).alias("loss"))
 
 
+@register("u17b_token_loss", r"WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, turn, unnest(w) AS w FROM t) SELECT conv_id, turn, round(avg(length(w) / 10.0::DOUBLE), 6) AS loss FROM p GROUP BY conv_id, turn")
+def token_loss(spark, folder):
+    """Mean loss over the tokens of a response after its prompt: a model of one's own gives each token a loss."""
+    turns = table(spark, folder, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.lit("### Response:").alias("prompt"), F.coalesce("text", F.lit("")).alias("response"))
+    found = models.response_loss(turns, "prompt", "response", lambda tokens: [len(t) / 10 for t in tokens])
+    return found.where("loss is not null").select("conv_id", "turn", F.round("loss", 6).alias("loss"))
+
+
 @register("u19_profiles", "SELECT doc_id, coalesce('Handles ' || lang || ' text', 'General capability.') AS profile FROM documents")
 def profiles(spark, folder):
     """One paragraph a sample of a model's reply, a default where there is none."""
@@ -224,18 +232,18 @@ def profiles(spark, folder):
     return table(spark, folder, "documents").select("doc_id", texts.description(F.regexp_replace(reply, "^CDT_", ""), "General capability.").alias("profile"))
 
 
-@register("u19b_batched_profiles", "SELECT doc_id, lang AS tags FROM documents WHERE doc_id < 50")
+@register("u19b_batched_profiles", "SELECT doc_id, lang AS tags FROM documents")
 def batched_profiles(spark, folder):
     """Replies that hold several samples by id, taken apart."""
-    d = table(spark, folder, "documents").where("doc_id < 50").select(F.floor(F.col("doc_id") / 5).alias("b"), F.col("doc_id").cast("string").alias("id"), F.struct(F.col("lang").alias("tags")).alias("p"))
+    d = table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 5).alias("b"), F.col("doc_id").cast("string").alias("id"), F.struct(F.col("lang").alias("tags")).alias("p"))
     reply = d.groupBy("b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "p")))).alias("reply"))
     return reply.select(F.explode(F.from_json("reply", "map<string,struct<tags:string>>")).alias("id", "p")).select(F.col("id").cast("long").alias("doc_id"), "p.tags")
 
 
-@register("u20_cluster_names", "WITH w AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z]{3,}'), lambda x: length(x) > 4)) AS w FROM documents), n AS (SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= 2) SELECT lang, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY n DESC, w) || ' Capability' AS name FROM n GROUP BY lang")
+@register("u20_cluster_names", "WITH w AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: length(x) > 4)) AS w FROM documents), n AS (SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= 2) SELECT lang, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY n DESC, w) || ' Capability' AS name FROM n GROUP BY lang")
 def cluster_names(spark, folder):
     """Fallback names: the two most frequent tokens of a cluster."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.substring("text", 1, 2000)), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.length(w) > 4)
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.length(w) > 4)
     n = table(spark, folder, "documents").select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     top = ingest.top_of_each(n, "lang", 2, F.desc("n"), F.col("w")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank_in_group", F.initcap("w").alias("w")))).alias("t"))
     return top.select("lang", F.concat(F.array_join(F.transform("t", lambda x: x["w"]), " "), F.lit(" Capability")).alias("name"))

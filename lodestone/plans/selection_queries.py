@@ -57,6 +57,13 @@ def mig_greedy(spark, folder):
     return spark.createDataFrame([(p, i + 1, round(g, 6)) for i, (p, g) in enumerate(chosen)], "vec_id long, selection_rank int, selection_gain double")
 
 
+@register("o6b_mig_exponential")
+def mig_exponential(spark, folder):
+    """The same with gains that fall exponentially."""
+    chosen = selection.mig_greedy(_sparse(spark, folder), 40, phi="exp", alpha=0.5)
+    return spark.createDataFrame([(p, i + 1, round(g, 6)) for i, (p, g) in enumerate(chosen)], "vec_id long, selection_rank int, selection_gain double")
+
+
 @register("o7_score_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS INT) AS selection_rank FROM events QUALIFY selection_rank <= 100")
 def score_order(spark, folder):
     return selection.scalar_topk(table(spark, folder, "events").select("event_id", "value"), "value", "event_id", 100).select("event_id", "selection_rank")
@@ -162,7 +169,7 @@ def contexts(spark, folder):
     """Three of the capability's pool of four for each row, never itself: the pool is an array beside each row."""
     e = table(spark, folder, "embeddings").select("label", "vec_id")
     pool = ingest.top_of_each(e, "label", 4, ingest.hash_order("vec_id"), F.col("vec_id")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_in_group", "vec_id"))), lambda s: s["vec_id"]).alias("pool"))
-    return e.join(F.broadcast(pool), "label").select("vec_id", F.explode(F.slice(F.filter("pool", lambda p: p != F.col("vec_id")), 1, 3)).alias("context"))
+    return e.join(pool, "label").select("vec_id", F.explode(F.slice(F.filter("pool", lambda p: p != F.col("vec_id")), 1, 3)).alias("context"))
 
 
 @register("o22_ratio_subset", "SELECT event_id FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT)) FROM events)")

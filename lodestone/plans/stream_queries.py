@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -18,12 +16,12 @@ from lodestone.streaming import recipe
 @register("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, folder):
     stream = recipe.windowed_counts(recipe.read_events(spark, folder))
-    return recipe.finished(stream, scratch(spark), f"w{uuid.uuid4().hex}").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return recipe.finished(stream, scratch(spark)).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register("stream_running_counts", "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
 def running_counts(spark, folder):
-    return recipe.finished(recipe.running_counts(recipe.read_events(spark, folder)), scratch(spark), f"c{uuid.uuid4().hex}")
+    return recipe.finished(recipe.running_counts(recipe.read_events(spark, folder)), scratch(spark))
 
 
 @register("stream_recipe")
@@ -92,10 +90,28 @@ def language_routed(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.when(texts.has_cjk(F.coalesce("text", F.lit(""))), "zh").otherwise("en").alias("model"))
 
 
+@register("x12b_routed_scores", "SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]') THEN 'zh' ELSE 'en' END AS language, CAST(length(coalesce(text, '')) % 10 AS DOUBLE) / 10 AS score FROM conversations")
+def routed_scores(spark, folder):
+    """Scores of a model of one's own for each language."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    score = lambda predictions, references: references.str.len() % 10 / 10.0
+    return models.score_pairs(rows, "text", "text", {"en": score, "zh": score}).select("conv_id", "turn", "language", "score")
+
+
+@register("a31_attention_weights", "WITH a AS (SELECT vec_id, list_transform(range(2), lambda h: list_transform(range(4), lambda q: list_transform(range(4), lambda d: abs(CAST(embedding[h * 16 + q * 4 + d + 1] AS DOUBLE))))) AS a FROM embeddings), w AS (SELECT vec_id, (a[1][3][1] + a[1][4][1] + a[2][3][1] + a[2][4][1]) / 4 AS x, (a[1][3][2] + a[1][3][3] + a[1][4][2] + a[1][4][3] + a[2][3][2] + a[2][3][3] + a[2][4][2] + a[2][4][3]) / 8 AS y FROM a) SELECT vec_id, round(x / (x + y), 6) AS first, round(y / (x + y), 6) AS second FROM w")
+def attention_weights(spark, folder):
+    """Two heads over four tokens: the last two ask, the first, and the second with the third, are demos."""
+    v = F.transform(F.col("embedding").cast("array<double>"), F.abs)
+    heads = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.slice(v, h * 16 + q * 4 + 1, F.lit(4))))
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    found = table(spark, folder, "embeddings").select("vec_id", models.attention_weights(heads, span(2, 9), F.array(span(0, 1), span(1, 3))).alias("w"))
+    return found.select("vec_id", F.round(F.col("w")[0], 6).alias("first"), F.round(F.col("w")[1], 6).alias("second"))
+
+
 @register("s14_streamed_files", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
 def streamed_files(spark, folder):
     """Files read as a stream, a bounded number at a time."""
     path = scratch(spark)
     table(spark, folder, "documents").select("doc_id").repartition(4).write.parquet(path)
     rows = spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(path)
-    return recipe.finished(rows, scratch(spark), f"s{uuid.uuid4().hex}", "append").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    return recipe.finished(rows, scratch(spark), "append").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))

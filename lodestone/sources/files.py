@@ -97,11 +97,16 @@ def checked_routing(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def capabilities(rows: DataFrame) -> tuple[DataFrame, int]:
     """(index, name) by order, and the number of dimensions: the largest index and one."""
     named = rows.select(F.col("order").alias("index"), F.coalesce("capability_name", "node_id").alias("name"))
-    return named, (named.agg(F.max("index")).first()[0] or -1) + 1
+    most = named.agg(F.max("index")).first()[0]
+    return named, 0 if most is None else most + 1
 
 
 def read_centroids(spark: SparkSession, path: str) -> DataFrame:
-    """(node_id, c) of JSON lines, or of .npy files, which are read in tasks from their bytes."""
+    """(node_id, c) of JSON lines, or of .npy, .pt or tree.json files, which are read in tasks from their bytes."""
+    if path.endswith((".pt", ".pth")):
+        return read_tensor_centroids(spark, path)
+    if path.endswith("tree.json"):
+        return read_tree_centroids(spark, path)
     if not path.endswith(".npy"):
         return spark.read.schema("node_id string, center_vector array<double>").option("lineSep", "\n").json(path).withColumnRenamed("center_vector", "c")
 
@@ -120,6 +125,55 @@ def read_centroids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def read_tree_centroids(spark: SparkSession, path: str, scope: str = "leaf", least: int = 1) -> DataFrame:
+    """(node_id, c) of a tree.json: nodes with a vector and at least so many samples, the leaves or with scope `all` all
+    but the root. A tree is as small as its nodes; each file is read in one task."""
+
+    def run(parts):
+        import json
+
+        import pandas as pd
+
+        for part in parts:
+            for data in part["content"]:
+                top = json.loads(bytes(data))
+                out, left = [], [(top.get("root", top), True)]
+                while left:
+                    node, root = left.pop()
+                    children = node.get("children") or []
+                    vector = node.get("leaf_center_vector") or node.get("center_vector") or node.get("center")
+                    held = node.get("data_count", len(node.get("data_ids") or []))
+                    if vector and held >= least and not (root and children) and (scope == "all" or not children):
+                        out.append((str(node.get("node_id")), [float(x) for x in vector]))
+                    left += [(c, False) for c in reversed(children)]
+                yield pd.DataFrame(out, columns=["node_id", "c"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "node_id string, c array<double>")
+
+
+def read_tensor_centroids(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, c) of a .pt file that holds a matrix, or a dictionary with `centroids` and maybe `node_ids`; this needs
+    torch where the tasks run, and is an error without it."""
+
+    def run(parts):
+        import io
+
+        import pandas as pd
+
+        try:
+            import torch
+        except ImportError as e:
+            raise RuntimeError("reading .pt files needs torch") from e
+        for part in parts:
+            for data in part["content"]:
+                found = torch.load(io.BytesIO(bytes(data)), map_location="cpu", weights_only=True)
+                rows = found["centroids"] if isinstance(found, dict) else found
+                names = (found.get("node_ids") if isinstance(found, dict) else None) or [f"row_{i}" for i in range(len(rows))]
+                yield pd.DataFrame({"node_id": [str(n) for n in names], "c": [[float(x) for x in r] for r in rows]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "node_id string, c array<double>")
+
+
 def write_json(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "errorifexists").option("lineSep", "\n").json(path)
 

@@ -25,15 +25,15 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as instruction samples: their first three lines, language as category, source as source type."""
+    """Documents as instruction samples: the first line, the second, and all others; language as category, source as type."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     line = lambda i: F.coalesce(F.get(lines, F.lit(i)), F.lit(""))
     return table(spark, folder, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("id"), line(0).alias("instruction"), line(1).alias("input"), line(2).alias("output"), F.col("lang").alias("category"), F.col("source").alias("source_type")
+        "doc_id", F.col("doc_id").cast("string").alias("id"), line(0).alias("instruction"), line(1).alias("input"), F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n").alias("output"), F.col("lang").alias("category"), F.col("source").alias("source_type")
     )
 
 
-SAMPLES_SQL = "s AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, split_part(coalesce(text, ''), chr(10), 1) AS instruction, split_part(coalesce(text, ''), chr(10), 2) AS input, split_part(coalesce(text, ''), chr(10), 3) AS output, lang AS category, source AS source_type FROM documents)"
+SAMPLES_SQL = "s AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, split_part(coalesce(text, ''), chr(10), 1) AS instruction, split_part(coalesce(text, ''), chr(10), 2) AS input, array_to_string(string_split(coalesce(text, ''), chr(10))[3:], chr(10)) AS output, lang AS category, source AS source_type FROM documents)"
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

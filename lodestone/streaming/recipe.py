@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, event_type, n, total) for tumbling windows; rows later than the watermark are dropped."""
+    """(start, event_type, n, total) for tumbling windows. The watermark lets rows that are later go in `append` and
+    `update` mode; in `complete` mode, which keeps all windows, all rows count."""
     grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
@@ -30,23 +33,51 @@ def running_counts(events: DataFrame, key: str = "user_id") -> DataFrame:
 def run_recipe(batches: DataFrame, state: AlphaState, checkpoint: str, seen: Callable[[int, list[float]], None]) -> AlphaState:
     """Carry method weights over micro-batches of (u: array, reward): each batch updates them once.
 
-    Batches are told apart by id, so that a batch replayed after a failure does not count twice.
+    The state after each batch is written beside the checkpoint, under the batch's number, before the batch counts as
+    done: a query that starts again goes on from it, and a batch that is replayed does not count twice.
     """
-    done: set[int] = set()
+    spark, folder = batches.sparkSession, f"{checkpoint}_states"
+    fields = ["alpha", "utility", "reward_mean", "reward_var"]
+
+    def last() -> tuple[int, dict] | None:
+        try:
+            row = spark.read.schema("number long, state string").json(folder).agg(F.max(F.struct("number", "state")).alias("m")).first()["m"]
+        except AnalysisException:  # nothing has been written yet
+            return None
+        return (row["number"], json.loads(row["state"])) if row else None
+
+    def resume() -> int:
+        found = last()
+        for name in fields if found else ():
+            setattr(state, name, found[1][name])
+        return found[0] if found else -1
 
     def step(batch: DataFrame, number: int) -> None:
-        if number in done or batch.isEmpty():
+        if number <= resume() or batch.isEmpty():
             return
-        seen(number, state.update(*method_signal(batch)))
-        done.add(number)
+        weights = state.update(*method_signal(batch))
+        written = json.dumps({name: getattr(state, name) for name in fields})
+        spark.createDataFrame([(number, written)], "number long, state string").coalesce(1).write.mode("append").json(folder)
+        seen(number, weights)
 
+    resume()
     query = batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return state
 
 
-def finished(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Run the stream over what there is now and return its result, from a table of the session."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finished(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run the stream over what there is now and return its result, from files that its tasks write.
+
+    In `complete` mode each batch replaces the result, in `append` mode its rows are added; a replayed batch replaces
+    what it wrote before.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}_result"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = spark.read.schema(stream.schema).parquet(out)
+    return found.select(*stream.columns)
