@@ -36,27 +36,41 @@ _RUN = 64
 _SPANS = "array<struct<start:int,rank:int,end:int,hit:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """What `use` makes of a value that is worked out once: inside a lambda an expression would be worked out each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _before(values: Column, zero: Column, add) -> Column:
-    """For each value, all those before it added up by `add`, an associative operation whose neutral element is zero.
+    """For each value of an array that is a column or bound by _let, all those before it added up by `add`, an
+    associative operation whose neutral element is zero.
 
     In runs of _RUN values, so that the work grows with their number: an array that grows by one is copied each time.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int")), lambda i: F.slice(values, i * _RUN + 1, F.lit(_RUN)))
     grow = lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x)))
-    starts = F.aggregate(F.transform(runs, lambda run: F.aggregate(run, zero, add)), F.array(zero), grow)
-    inside = F.zip_with(F.slice(starts, 1, F.size(runs)), runs, lambda start, run: F.slice(F.aggregate(run, F.array(start), grow), 1, F.size(run)))
-    return F.when(F.size(values) > 0, F.flatten(inside)).otherwise(F.slice(values, 1, 0))
+
+    def inside(runs: Column) -> Column:
+        starts = F.aggregate(F.transform(runs, lambda run: F.aggregate(run, zero, add)), F.array(zero), grow)
+        return F.flatten(F.zip_with(F.slice(starts, 1, F.size(runs)), runs, lambda start, run: F.slice(F.aggregate(run, F.array(start), grow), 1, F.size(run))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int")), lambda i: F.slice(values, i * _RUN + 1, F.lit(_RUN)))
+    return F.when(F.size(values) > 0, _let(runs, inside)).otherwise(F.slice(values, 1, 0))
 
 
 def _matches(text: Column, pattern: str, kind: str, good) -> Column:
     """Spans of the leftmost non-overlapping matches that `good` keeps: the pieces between matches give the places."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else hits
-    gaps = F.transform(F.slice(between, 1, F.greatest(F.size(hits), F.lit(1))), F.length)
-    earlier = _before(F.zip_with(gaps, hits, lambda gap, hit: gap + F.length(hit)), F.lit(0), lambda x, y: x + y)
-    found = F.zip_with(F.arrays_zip(earlier.alias("earlier"), gaps.alias("gap")), F.arrays_zip(hits.alias("hit"), inner.alias("inner")), lambda at, m: F.struct((at["earlier"] + at["gap"]).alias("start"), m["hit"].alias("hit"), m["inner"].alias("inner")))
-    spans = F.transform(F.filter(found, lambda m: good(m["hit"], m["inner"])), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (m["start"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
-    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(_SPANS))
+
+    def spans(found: Column) -> Column:
+        sizes = F.transform(found, lambda m: m["gap"] + F.length(m["hit"]))
+        placed = F.zip_with(_let(sizes, lambda own: _before(own, F.lit(0), lambda x, y: x + y)), found, lambda earlier, m: F.struct((earlier + m["gap"]).alias("start"), m["hit"].alias("hit"), m["inner"].alias("inner")))
+        return F.transform(F.filter(placed, lambda m: good(m["hit"], m["inner"])), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (m["start"] + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))
+
+    # What follows the last match is no gap.
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    every = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), inner.alias("inner")), lambda m: m["hit"].isNotNull())
+    return _let(every, lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(_SPANS)))
 
 
 def _tail(z: Column) -> Column:
@@ -77,27 +91,32 @@ def _battery(run: Column) -> Column:
 
 
 def _p_value(token: Column, alphabet: Column) -> Column:
-    n, width = F.length(token).cast("double"), F.length(alphabet).cast("double")
+    """The tests' least p-value, corrected for their number."""
     letters = F.filter(F.split(token, ""), lambda c: c != "")
-    codes = F.transform(letters, lambda c: F.position(c, alphabet).cast("double"))
-    squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), 2))
-    chi, free = width / n * squares - n, width - 1
-    uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    p_uniform = F.when(uniform > 0, _tail(uniform)).otherwise(1 - _tail(uniform))
-    following = F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1)))
-    steps = F.arrays_zip(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(1))).alias("x"), following.alias("y"))
-    high = F.aggregate(codes, F.lit(0.0), lambda a, x: a + F.when(x > width / 2, 1.0).otherwise(0.0))
-    runs = 1 + F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.when((s["x"] > width / 2) != (s["y"] > width / 2), 1.0).otherwise(0.0))
-    both = 2 * high * (n - high)
-    spread = both * (both - n) / (n * n * (n - 1))
-    p_runs = F.when(spread > 0, F.least(F.lit(1.0), 2 * _tail((runs - 1 - both / n) / F.sqrt(spread)))).otherwise(0.0)
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    variance = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    covariance = F.aggregate(steps, F.lit(0.0), lambda a, s: a + (s["x"] - mean) * (s["y"] - mean))
-    p_serial = F.when(variance > 0, F.least(F.lit(1.0), 2 * _tail((covariance / variance + 1 / n) * F.sqrt(n)))).otherwise(0.0)
-    others = F.length(F.regexp_replace(alphabet, "[0-9]", "")).cast("double")
-    p_digits = F.when(token.rlike("[0-9]"), 1.0).otherwise(F.pow(others / width, n))  # no digit in so many draws
-    return F.least(F.lit(1.0), 4 * F.least(p_uniform, p_runs, p_serial, p_digits))
+
+    def of(given: Column) -> Column:
+        n, width, codes, mean = given["n"], given["width"], given["codes"], given["mean"]
+        squares = F.aggregate(F.array_distinct(given["letters"]), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), 2))
+        chi, free = width / n * squares - n, width - 1
+        uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        p_uniform = F.when(uniform > 0, _tail(uniform)).otherwise(1 - _tail(uniform))
+        steps = F.arrays_zip(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(1))).alias("x"), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1))).alias("y"))
+        high = F.aggregate(codes, F.lit(0.0), lambda a, x: a + F.when(x > width / 2, 1.0).otherwise(0.0))
+        runs = 1 + F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.when((s["x"] > width / 2) != (s["y"] > width / 2), 1.0).otherwise(0.0))
+        both = 2 * high * (n - high)
+        spread = both * (both - n) / (n * n * (n - 1))
+        p_runs = F.when(spread > 0, F.least(F.lit(1.0), 2 * _tail((runs - 1 - both / n) / F.sqrt(spread)))).otherwise(0.0)
+        variance = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        covariance = F.aggregate(steps, F.lit(0.0), lambda a, s: a + (s["x"] - mean) * (s["y"] - mean))
+        p_serial = F.when(variance > 0, F.least(F.lit(1.0), 2 * _tail((covariance / variance + 1 / n) * F.sqrt(n)))).otherwise(0.0)
+        others = F.length(F.regexp_replace(alphabet, "[0-9]", "")).cast("double")
+        p_digits = F.when(token.rlike("[0-9]"), 1.0).otherwise(F.pow(others / width, n))  # no digit in so many draws
+        return F.least(F.lit(1.0), 4 * F.least(p_uniform, p_runs, p_serial, p_digits))
+
+    coded = lambda own: F.struct(own.alias("letters"), F.transform(own, lambda c: F.position(c, alphabet).cast("double")).alias("codes"))
+    n, width = F.length(token).cast("double"), F.length(alphabet).cast("double")
+    full = lambda x: F.struct(x["letters"].alias("letters"), x["codes"].alias("codes"), n.alias("n"), width.alias("width"), (F.aggregate(x["codes"], F.lit(0.0), lambda a, y: a + y) / n).alias("mean"))
+    return _let(letters, lambda own: _let(coded(own), lambda x: _let(full(x), of)))
 
 
 def _length_class(n: Column) -> Column:
@@ -204,7 +223,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataF
     found = scan(rows, fit(rows))
     t = F.col("text")
     # What lies before a span begins where all earlier spans have ended; a span inside them adds nothing.
-    covered = F.zip_with(_before(F.transform("_spans", lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y)), "_spans", lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+    ends = F.transform("_spans", lambda s: s["end"])
+    covered = F.zip_with(_let(ends, lambda own: _before(own, F.lit(0), lambda x, y: F.greatest(x, y))), "_spans", lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
     pieces = F.transform(F.filter(covered, lambda s: s["start"] >= s["at"]), lambda s: F.concat(F.substr(t, s["at"] + 1, s["start"] - s["at"]), F.lit(mark)))
     clean = F.concat(F.array_join(pieces, ""), F.substr(t, F.array_max(F.transform("_spans", lambda s: s["end"])) + 1))
     return found.select("row", F.when(F.size("_spans") > 0, clean).otherwise(t).alias("text")).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

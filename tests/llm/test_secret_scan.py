@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -74,3 +75,86 @@ def test_redaction(spark):
 def test_plan_has_no_python(spark):
     frame = secret_scan.report(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def tail(z):
+    z = abs(z)
+    return 1 / (1 + math.exp(min(0.07056 * z**3 + 1.5976 * z, 700)))
+
+
+def plain_p(token, alphabet):
+    """The battery for one run, written out."""
+    n, w = len(token), len(alphabet)
+    chi, free = sum((token.count(c) - n / w) ** 2 for c in alphabet) / (n / w), w - 1
+    z = (max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))
+    z /= math.sqrt(2 / (9 * free))
+    p_uniform = tail(z) if z > 0 else 1 - tail(z)
+    codes = [alphabet.index(c) + 1 for c in token]
+    high = [c > w / 2 for c in codes]
+    runs, both = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), 2 * sum(high) * (n - sum(high))
+    spread = both * (both - n) / (n * n * (n - 1))
+    p_runs = min(1.0, 2 * tail((runs - 1 - both / n) / math.sqrt(spread))) if spread > 0 else 0.0
+    mean = sum(codes) / n
+    variance = sum((c - mean) ** 2 for c in codes)
+    covariance = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False))
+    p_serial = min(1.0, 2 * tail((covariance / variance + 1 / n) * math.sqrt(n))) if variance > 0 else 0.0
+    letters = sum(not c.isdigit() for c in alphabet)
+    p_digits = 1.0 if any(c.isdigit() for c in token) else (letters / w) ** n
+    return min(1.0, 4 * min(p_uniform, p_runs, p_serial, p_digits))
+
+
+def encoding_of(token):
+    return next(((name, letters) for name, pattern, letters in secret_scan.ENCODINGS if re.fullmatch(pattern, token)), None)
+
+
+def test_battery(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 90))) for _, _, letters in secret_scan.ENCODINGS for _ in range(12)]
+    texts += ["abcabcabcabcabcabcabcabc1", "internationalisation" * 2, "aaaaaaaaaaaaaaaaaaaaaaaaa", "A1B2C3D4E5F6G7H8I9J0K1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["_runs"] for r in secret_scan.candidates(rows).collect()}
+    seen = 0
+    for i, t in enumerate(texts):
+        if encoding_of(t):
+            (run,) = found[i]
+            assert run["encoding"] == encoding_of(t)[0]
+            assert run["p"] == pytest.approx(plain_p(t, encoding_of(t)[1]), rel=1e-6, abs=1e-12)
+            assert run["length_class"] == sum(len(t) >= n for n in secret_scan.LENGTHS[1:])
+            seen += 1
+    assert seen > 80
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_thresholds_are_those_of_benjamini_and_hochberg(spark, seed):
+    """By sorting the p-values, put at their buckets' borders, of each class."""
+    rng = random.Random(seed)
+    ps = {(e, k): [rng.random() ** rng.choice([1, 6, 20]) for _ in range(rng.randrange(1, 60))] for e in ("hex", "base62") for k in range(3)}
+    rows = [([(0, 30, e, k, p)],) for (e, k), own in ps.items() for p in own]
+    found = secret_scan.thresholds(spark.createDataFrame(rows, "_runs array<struct<start:int,end:int,encoding:string,length_class:int,p:double>>"), 0.05)
+    for key, own in ps.items():
+        at = sorted((2 ** (-min(64, math.floor(-2 * math.log2(p))) / 2) for p in own))
+        rejected = [p for i, p in enumerate(at, 1) if p <= 0.05 * sum(q <= p for q in at) / len(at)]
+        limit = max(rejected, default=0.0)
+        for p, q in zip(own, (2 ** (-min(64, math.floor(-2 * math.log2(p))) / 2) for p in own), strict=True):
+            assert (min(64, math.floor(-2 * math.log2(p))) >= found[key]) == (q <= limit)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Work grows with the number of matches."""
+    text = "token = abcdef123 and é " * 20_000
+    check(spark, [(1, text), (2, "x" * 500_000)])
+    clean = secret_scan.redact(spark.createDataFrame([(1, text[:48_000])], "doc_id long, text string")).first()["text"]
+    assert clean == re.sub("token = abcdef123", "<secret>", text[:48_000])
+
+
+def test_columns_of_any_name_survive(spark):
+    frame = spark.createDataFrame([(1, "token=abcdefgh", "b", "r", "s", "t")], "doc_id long, text string, _base string, _runs string, _spans string, row string")
+    found = secret_scan.redact(frame)
+    assert found.columns == frame.columns
+    assert tuple(found.first()) == (1, "<secret>", "b", "r", "s", "t")
+    assert secret_scan.report(frame).count() == 1
+
+
+def test_overlapping_spans_share_a_mark(spark):
+    text = "é token=" + "0123456789abcdef" * 2 + "XYZ end"
+    assert secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == "é <secret> end"
