@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytewise import U64, Words, batches, chunks, keep_only, mix, release, text_buffers
@@ -129,61 +129,16 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "band long, node binary")
 
 
-def shared_bands(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All (band, node), and of the bands that nodes share (band, n, node), each set of nodes once."""
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(group, node): nodes that share a band, each set of them once; every pair of a large group shares some block pair."""
     bands = _bands(nodes)
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min(F.xxhash64("node")).alias("m")).where("n > 1")
     once = sizes.groupBy("n", "x", "m").agg(F.min("band").alias("band"))
-    return bands, bands.join(once.select("band", "n"), "band")
-
-
-def _chunks(n: Column) -> Column:
-    return F.ceil(n / (GROUP // 2)).cast("int")
-
-
-def _dealt(chunks: Column) -> Column:
-    return F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
-
-
-def first_groups(members: DataFrame) -> DataFrame:
-    """(group, node): the nodes of each band; those of a large one in chunks, with one node of the band in each of them.
-
-    Where most nodes of a large band are alike they are so linked through that node, with work in proportion to them.
-    """
-    large = F.col("n") > GROUP
-    own = members.select("band", "node", F.when(large, _dealt(_chunks(F.col("n")))).otherwise(0).alias("chunk"))
-    guide = members.where(large).groupBy("band").agg(F.min("node").alias("node"), F.first("n").alias("n"))
-    guides = guide.withColumn("chunk", F.explode(F.sequence(F.lit(0), _chunks(F.col("n")) - 1))).where(F.col("chunk") != _dealt(_chunks(F.col("n"))))
-    return own.unionByName(guides.select("band", "node", "chunk")).select(F.xxhash64("band", "chunk").alias("group"), "node")
-
-
-def later_groups(members: DataFrame, bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """(group, node): what first_groups has left open in large bands, where their nodes are in more than one component yet.
-
-    Nodes of one component need no comparison. A large component (within the band) meets the others of its band chunk by
-    chunk. The many small ones meet among themselves where they share another band too, as nodes that can be linked
-    share some ten; what is still large then, chunk by chunk.
-    """
-    large = cut(members.where(F.col("n") > GROUP).join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("part")))
-    size = F.col("size")
-    big = F.when(size > GROUP // 2, F.struct("part", _chunks(size).alias("chunks")))
-    parts = large.groupBy("band", "part").agg(F.count("*").alias("size")).groupBy("band").agg(F.count("*").alias("parts"), F.collect_list(big).alias("big"), F.sum(F.when(size > GROUP // 2, 0).otherwise(size)).alias("small"))
-    rows = cut(large.join(bounded_broadcast(cut(parts.where("parts > 1").drop("parts"))), "band"))
-    own = F.element_at(F.filter("big", lambda x: x["part"] == F.col("part")), 1)
-    name = lambda part, i: F.concat_ws(":", F.hex(part), i.cast("string"))
-    of_big = F.flatten(F.transform(F.filter("big", lambda x: x["part"] != F.col("part")), lambda x: F.transform(F.sequence(F.lit(0), x["chunks"] - 1), lambda i: name(x["part"], i))))
-    of_small = F.transform(F.sequence(F.lit(0), F.greatest(_chunks(F.col("small")), F.lit(1)) - 1), lambda i: name(F.lit(None).cast("binary"), i))
-    is_big = F.size(F.filter("big", lambda x: x["part"] == F.col("part"))) > 0
-    mine = F.when(is_big, name(F.col("part"), _dealt(own["chunks"]))).otherwise(name(F.lit(None).cast("binary"), _dealt(F.greatest(_chunks(F.col("small")), F.lit(1)))))
-    others = F.when(is_big & (F.col("small") > 0), F.concat(of_big, of_small)).otherwise(of_big)
-    across = rows.withColumn("mine", mine).withColumn("other", F.explode(others)).select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "node")
-    small = rows.where(~is_big).select("band", "node").join(bands.select("node", F.col("band").alias("other")), "node").where("band <> other")
-    twice = small.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other"), F.lit(2)).alias("pair"), "node").distinct()
-    sizes = twice.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = twice.join(sizes, "pair")
-    chunks = F.when(F.col("n") > GROUP, _chunks(F.col("n"))).otherwise(1)
-    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(j, _dealt(chunks)).alias("i"), F.greatest(j, _dealt(chunks)).alias("j")))
-    return across.unionByName(open_.withColumn("met", F.explode(met)).select(F.xxhash64("pair", "met.i", "met.j").alias("group"), "node"))
+    members = bands.join(once.select("band", "n"), "band")
+    blocks = F.ceil(F.col("n") / (GROUP // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("n") > GROUP, blocks).otherwise(1)).cast("int")
+    others = F.when(F.col("n") > GROUP, F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    return members.withColumn("pair", F.explode(others)).select(F.xxhash64("band", "pair.i", "pair.j").alias("group"), "node")
 
 
 def _may_link(sizes: np.ndarray, regs: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -285,12 +240,8 @@ def _labelled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     found = cut(sketches(docs, key, text, width))
     linked = found.where("node is not null and doc_id is not null")
     nodes = cut(linked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
-    bands, shared = shared_bands(nodes)
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    links = cut(_links(first_groups(shared), nodes, texts, width, percent))
-    roots = cut(components(links))
-    if shared.where(F.col("n") > GROUP).take(1):
-        roots = cut(components(links.unionByName(_links(later_groups(shared, bands, roots), nodes, texts, width, percent))))
+    roots = cut(components(_links(candidate_groups(nodes), nodes, texts, width, percent)))
     label = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     labels = roots.join(label, "root").select("node", "root", "least")
     # Copies of texts that are linked with no other text still share their node's least id.

@@ -107,3 +107,30 @@ def test_estimates_follow_likeness():
             errors.append(near_dedup.estimate(regs[0], regs[1:])[0] - len(common) / (len(common) + 2 * apart))
         assert abs(np.mean(errors)) < 0.03
         assert np.max(np.abs(errors)) < near_dedup.MARGIN
+
+
+def test_large_bands_of_unlike_families(spark, monkeypatch):
+    """Families of near copies that share much, but not enough, and texts that belong to none: no link is lost."""
+    monkeypatch.setattr(near_dedup, "GROUP", 8)
+    rng, rows = random.Random(11), []
+    words = [f"x{i}" for i in range(200)]
+    for family in range(3):
+        base = [*words[:170], *(f"f{family}w{i}" for i in range(30))]
+        rows += [(len(rows) + i, edited(rng, base, rng.randrange(0, 3))) for i in range(18)]
+    rows += [(len(rows) + i, edited(rng, words, 12)) for i in range(14)]
+    rng.shuffle(rows)
+    assert found(spark, rows) == plain(rows)
+
+
+def test_unique_rows(spark):
+    """Rows are told apart by id and text: none of its own is lost, none that repeats another stays."""
+    long = " ".join(f"w{i}" for i in range(100))
+    near = long.replace("w7 ", "other ")
+    rows = [(1, "a b c", "x"), (2, "A b  c", "y"), (2, "wholly different text it is", "z"), (3, long, "p"), (3, long, "p"), (4, near, "q"), (4, near + " more", "r"), (5, None, "s"), (5, "", "t"), (None, long, "u"), (6, "wholly different text it is", "v")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = near_dedup.unique(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c", "x"), (2, "wholly different text it is", "z"), (3, long, "p"), (5, None, "s"), (5, "", "t"), (None, long, "u")], key=str)
+    assert near_dedup.unique(frame.limit(0)).count() == 0
+    single = frame.where("doc_id in (1, 3)").limit(2)
+    assert near_dedup.unique(single).count() == 2
