@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -95,3 +96,109 @@ def test_stirling_draws():
     many = hpy_lm.draw_tables(np.array([1, 10_000]), np.array([0.5, 0.5]), 0, rng)
     assert many[0] == 1
     assert 1 <= many[1] <= 10_000
+
+
+def plain_model(texts, learn, discounts, strengths, sweeps, burn_in, seed=1):
+    """Averaged predictive probabilities (context, word) by seating every customer anew, one at a time."""
+    rng = random.Random(seed)
+    vocabulary = {w for t in learn for w in tokens(t)}
+
+    class Restaurant:
+        def __init__(self, parent, d, s):
+            self.parent, self.d, self.s, self.tables = parent, d, s, collections.defaultdict(list)
+
+        def base(self, w):
+            return self.parent.chance(w) if self.parent else 1 / (len(vocabulary) + 1)
+
+        def chance(self, w):
+            n, t = sum(map(sum, self.tables.values())), sum(map(len, self.tables.values()))
+            own = self.tables.get(w, [])
+            return (sum(own) - self.d * len(own) + (self.s + self.d * t) * self.base(w)) / (self.s + n)
+
+        def enter(self, w):
+            own = self.tables[w]
+            weights = [x - self.d for x in own] + [(self.s + self.d * sum(map(len, self.tables.values()))) * self.base(w)]
+            at = rng.choices(range(len(weights)), weights)[0]
+            if at < len(own):
+                own[at] += 1
+            else:
+                own.append(1)
+                if self.parent:
+                    self.parent.enter(w)
+
+        def leave(self, w):
+            own = self.tables[w]
+            at = rng.choices(range(len(own)), own)[0]
+            own[at] -= 1
+            if not own[at]:
+                own.pop(at)
+                if self.parent:
+                    self.parent.leave(w)
+
+    root = Restaurant(None, discounts[1], strengths[1])
+    contexts = {}
+    customers = []
+    for t in learn:
+        own = tokens(t)
+        for i, w in enumerate(own):
+            where = contexts.setdefault(own[i - 1], Restaurant(root, discounts[0], strengths[0])) if i else root
+            customers.append((where, w))
+            where.enter(w)
+    total = [[0.0] * len(tokens(t)) for t in texts]
+    for sweep in range(sweeps):
+        for where, w in customers:
+            where.leave(w)
+            where.enter(w)
+        if sweep >= burn_in:
+            for t, sums in zip(texts, total, strict=True):
+                own = tokens(t)
+                for i, w in enumerate(own):
+                    where = contexts.get(own[i - 1], Restaurant(root, discounts[0], strengths[0])) if i else root
+                    sums[i] += where.chance(w) / (sweeps - burn_in)
+    return [sum(map(math.log10, x)) for x in total]
+
+
+def test_scores_are_those_of_single_seatings(spark):
+    rng = random.Random(6)
+    words = ["a", "b", "c", "d", "e", "f"]
+    learn = [" ".join(rng.choices(words, [9, 5, 3, 2, 1, 1], k=rng.randrange(3, 14))) for _ in range(30)]
+    texts = ["a b a", "b", "c d e f", "", "new a new", "f f f a"]
+    wanted = plain_model(texts, learn, hpy_lm.DISCOUNT, hpy_lm.STRENGTH, 400, 40)
+    rows = list(enumerate(learn)) + list(enumerate(texts, 1_000))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in hpy_lm.score(frame, F.col("doc_id") < 1_000, sweeps=12, burn_in=4).collect()}
+    for i, w in enumerate(wanted):
+        assert found[1_000 + i] == pytest.approx(w, abs=0.04 * len(tokens(texts[i])))
+
+
+def test_scores_do_not_depend_on_blocks_or_shards(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 3000")
+    score = lambda **how: {r["doc_id"]: r["score"] for r in hpy_lm.score(docs, checksum("doc_id", 10) != 0, sweeps=2, burn_in=1, **how).collect()}
+    one, many = score(), score(rows_a_block=17, tokens_a_shard=9_000)
+    assert set(one) == set(many)
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-4
+
+
+def test_gamma_and_poisson_variates():
+    keys = hpy_lm.mix(np.arange(60_000, dtype=np.uint64))
+    for shape in (0.3, 1.0, 7.5):
+        x = hpy_lm.gamma(np.full(len(keys), shape), keys, 3)
+        assert x.mean() == pytest.approx(shape, rel=0.03)
+        assert x.var() == pytest.approx(shape, rel=0.06)
+    for rate in (0.2, 6.0, 50.0):
+        x = hpy_lm._poisson(np.full(len(keys), rate), keys, 1)
+        assert x.mean() == pytest.approx(rate, rel=0.03)
+        assert x.var() == pytest.approx(rate, rel=0.05)
+
+
+@pytest.mark.parametrize("weight", [0.05, 1.0, 20.0])
+def test_runs_come_near_the_exact_conditional(weight, monkeypatch):
+    """Dishes with more customers than EXACT: the mean number of tables, against the exact one."""
+    c = 400
+    t = np.arange(1, c + 1)
+    score = np.log(weight) * t + hpy_lm._log_stirling(0)[c, 1 : c + 1]
+    p = np.exp(score - score.max())
+    exact = (p * t).sum() / p.sum()
+    monkeypatch.setattr(hpy_lm, "EXACT", 48)
+    drawn = hpy_lm.draw_tables(np.full(4_000, c), np.full(4_000, weight), 0, np.random.default_rng(2))
+    assert drawn.mean() == pytest.approx(exact, rel=0.25)

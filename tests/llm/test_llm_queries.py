@@ -69,3 +69,19 @@ def test_pipeline(spark):
     assert set(at["packing"]["doc_id"]) == set(at["mixing"]["doc_id"])
     ends = at["packing"].groupby("sequence_id")["length"].sum()
     assert ends.max() <= 4096
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Ids that come twice, nulls, and an empty table pass through all stages; no text of its own is lost."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "many words of one kind that make a text and go on for a while "
+    rows = [(1, long * 3, "en", "a", 1), (2, "nothing like the first text at all, dear reader", "en", "a", 1), (2, "une phrase tout autre que les deux premieres ici", "fr", None, 1), (3, long * 3, None, "b", None), (4, None, "en", "b", 1), (None, "a row without any id is kept", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for frame in (docs, docs.limit(0)):
+        at = frame
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            at = stage(spark, at, FOLDER)
+            if k == 1:
+                assert sorted((r["doc_id"] or 0) for r in at.collect()) == ([0, 1, 2, 2] if frame is docs else [])
+        pieces = at.collect()
+        assert {r["doc_id"] for r in pieces} == ({None, 1, 2} if frame is docs else set())

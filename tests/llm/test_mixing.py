@@ -84,3 +84,13 @@ def test_blocks_by_shuffle_give_the_same(spark, monkeypatch):
     a = {r["doc_id"]: r["copies"] for r in mixing.mix(frame, "source", F.col("n"), "doc_id", rows_a_block=4).collect()}
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
     assert a == {r["doc_id"]: r["copies"] for r in mixing.mix(frame, "source", F.col("n"), "doc_id", rows_a_block=4).collect()}
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["_source", "_size", "_order", "_block", "_left", "_in", "row", "rest", "blocks", "order", "block", "left", "whole", "extra", "size", "key"]
+    rows = [(i, f"s{i % 3}", 10, *names) for i in range(30)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long, source string, n long", *(f"`{n}` string" for n in names)]))
+    found = mixing.mix(frame, "source", F.col("n"), "doc_id", rows_a_block=4)
+    assert found.columns == [*frame.columns, "mix_weight", "mix_passes", "copies"]
+    assert all(list(r)[3:-3] == names for r in found.collect())
+    assert found.count() == 30

@@ -83,3 +83,44 @@ def test_completion_beats_best_fit():
     best, found = packing.best_fit(lengths, 60), packing.bin_completion(lengths, 60)
     assert len(found) <= len(best)
     assert sorted(sum(found, [])) == sorted(lengths)
+
+
+def undominated(items, room):
+    """All fillings that none dominates, by trying all sets: another length in place of some that fit into it, or beside them."""
+    out = set()
+    for m in range(1, len(items) + 1):
+        for own in itertools.combinations(range(len(items)), m):
+            left = room - sum(items[i] for i in own)
+            if left < 0:
+                continue
+            swaps = ((items[j], sum(items[i] for i in q), len(q)) for j in range(len(items)) if j not in own for k in range(m + 1) for q in itertools.combinations(own, k))
+            if not any(gone <= x and x - gone <= left and not (k == 1 and gone == x) for x, gone, k in swaps):
+                out.add(tuple(sorted((items[i] for i in own), reverse=True)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_fillings_hold_all_undominated_ones(seed):
+    rng = random.Random(seed)
+    items, room = [rng.randrange(1, 15) for _ in range(7)], rng.randrange(5, 25)
+    found = [x for x in packing.fillings(np.bincount(items, minlength=40), room) if x]
+    assert all(waste == room - sum(used) >= 0 for waste, used in found)
+    names = [tuple(sorted(used, reverse=True)) for _, used in found]
+    assert len(names) == len(set(names))
+    assert undominated(items, room) <= set(names)
+
+
+def test_excess_over_the_bound():
+    """Lengths like those of documents meet the bound; lengths of which few fit beside each other cannot."""
+    rng = random.Random(7)
+    lengths = [min(4095, max(2, int(rng.lognormvariate(6, 1)))) for _ in range(3_000)]
+    assert len(packing.bin_completion(lengths, 4096)) == -(-sum(lengths) // 4096)
+    middle = [rng.randrange(1000, 2000) for _ in range(400)]
+    assert len(packing.bin_completion(middle, 4096)) <= len(packing.best_fit(middle, 4096))
+
+
+def test_equal_rows_are_spread(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 40 + [(2, "c")], "doc_id long, text string").coalesce(1)
+    parts = packing.pieces(docs, packing.tokenizer_path())
+    assert sorted(r["copy"] for r in parts.where("doc_id = 1").collect()) == list(range(40))
+    assert packing.pack(parts, 41).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -81,3 +81,38 @@ def test_edge_cases(spark):
     many = spark.createDataFrame([(4, "same"), (4, "same"), (None, "last"), (None, None)], "doc_id long, text string")
     assert syncmers.compare_edits(many).count() == 4
     assert [len(r["fingerprint"]) for r in syncmers.compare_edits(many).where("doc_id = 4").collect()] == [16, 16]
+
+
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def test_closed_syncmers_by_definition():
+    """A k-mer is one if the least of its inner s-mers' hashes is its first or its last."""
+    rng = random.Random(3)
+    k, s, m = syncmers.K, syncmers.S, 1 << 64
+    base = [pow(0xD6E8FEB86659FD93, i, m) for i in range(s)]
+    for text in ("".join(rng.choice("abcdé😀 ") for _ in range(300)), "ab" * 40, "a" * 30, "short"):
+        inner = [plain_mix(sum((ord(text[i + j]) + 1) * 0x9E3779B97F4A7C15 * base[j] for j in range(s)) % m) for i in range(max(0, len(text) - s + 1))]
+        wanted = [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+        assert syncmers.syncmers(points(text), np.array([0, len(text)]))[1].tolist() == wanted
+
+
+def test_anchors_follow_the_length():
+    """One in SHARE of a long text's anchors, all of a short one's; likeness is then that of the whole sets."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    fp = lambda t: syncmers.fingerprints(points(t), np.array([0, len(t)]))[0]
+    hashes, _, _ = syncmers.syncmers(points(text), np.array([0, len(text)]))
+    own = fp(text)
+    assert len(own) == -(-len(hashes) // syncmers.SHARE)
+    assert set(own["hash"].tolist()) == set(sorted(set(hashes.tolist()))[: len(own)])
+    other = text[:45_000] + "".join(rng.choice("abcdefgh ") for _ in range(15_000))
+    a, b = (set(syncmers.syncmers(points(t), np.array([0, len(t)]))[0].tolist()) for t in (text, other))
+    assert abs(syncmers.likeness(own, fp(other)) - len(a & b) / len(a | b)) < 0.06
+    short = text[:100]
+    assert len(fp(short)) == min(syncmers.ANCHORS, len(set(syncmers.syncmers(points(short), np.array([0, 100]))[0].tolist())))
+    assert syncmers.likeness(fp(short), fp(short + text[:200])) <= 1
