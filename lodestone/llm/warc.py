@@ -1,8 +1,9 @@
 """WARC archives: written by Spark's text writer, read back by verifying the chain of record boundaries.
 
 Every split of an archive is searched for places that look like the start of a record; each gives a candidate and, by
-its Content-Length, its successor. A payload may hold the magic too. Pointer jumping over the candidates of a file, from
-its first byte, keeps only those that the chain of successors reaches.
+its Content-Length, its successor. A payload may hold the magic too. Pointer jumping over the candidates of a split
+tells where the chain leaves it, for each place where it may come in; these few jumps from split to split are followed
+from the file's first byte, and only candidates that the chain of successors then reaches are kept.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import partitions, shared_folder
+from lodestone.llm.shared import cut, partitions, shared_folder
 
 MAGIC = b"WARC/1.1\r\n"
 #: What the text writer puts after a row is what ends a record.
@@ -137,14 +138,18 @@ def candidates(spark: SparkSession, folder: str, split: int = 8 << 20) -> DataFr
     return splits.repartition(partitions(spark), "path", "start").mapInPandas(run, "path string, at long, body long, size long, next long")
 
 
-def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which of the sorted places the chain from 0 reaches, by pointer jumping: 2^k successors in the k-th round."""
+def _jumps(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The place among `at`, which ascends, of each successor; len(at) where it is not there."""
     n = len(at)
     jump = np.searchsorted(at, after)
-    jump = np.where((jump < n) & (at[np.minimum(jump, n - 1)] == after), jump, n) if n else jump
-    jump = np.append(jump, n)
-    seen = np.zeros(n + 1, dtype=bool)
-    seen[0] = n > 0 and at[0] == 0
+    return np.where((jump < n) & (at[np.minimum(jump, n - 1)] == after), jump, n) if n else jump
+
+
+def reachable(at: np.ndarray, after: np.ndarray, start: int = 0) -> np.ndarray:
+    """Which of the sorted places the chain from `start` reaches, by pointer jumping: 2^k successors in the k-th round."""
+    n = len(at)
+    jump = np.append(_jumps(at, after), n)
+    seen = np.append(at == start, False)
     while True:
         before = seen.sum()
         seen[jump[np.flatnonzero(seen)]] = True
@@ -154,22 +159,81 @@ def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return seen[:n]
 
 
-def records(spark: SparkSession, folder: str, split: int = 8 << 20, with_payload: bool = True) -> DataFrame:
-    """The records of the archives in the folder: id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
+#: Where a chain ends: at the file's length, or nowhere that a record could begin.
+_DONE, _LOST = -2, -1
 
-    Size and digest of a response are those of the payload read; a record whose payload has another digest than its
-    header says is an error, and so is a file whose records do not end at its length. For a revisit they are the header's, and the payload is null. Places and sizes of one
-    file's candidates meet in one task, some bytes for each record; payloads are read by splits of the verified places.
+
+def exits(at: np.ndarray, after: np.ndarray, high: int) -> np.ndarray:
+    """For each of the sorted places of a split, which ends at `high`, where the chain from it first leaves the split."""
+    n = len(at)
+    jump = _jumps(at, after)
+    last = np.where(after >= high, after, _LOST)
+    last[after < 0] = _DONE  # the place at the file's length
+    jump = np.where(jump < n, jump, np.arange(n))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    return last[jump]
+
+
+def chained(found: DataFrame, split: int) -> DataFrame:
+    """The candidates that the chain from their file's first byte reaches; an error where it does not end at its length.
+
+    A task holds the candidates of one split, and of a file the places where a chain may enter its splits: the
+    candidates of one split mostly leave it at one place, so that these are a row or two for each split.
     """
+    found = found.withColumn("part", F.floor(F.col("at") / split))
+    fields = "path string, part long"
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    def leaves(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at", ignore_index=True)
-        seen = reachable(frame["at"].to_numpy(), frame["next"].to_numpy())
-        if not seen[-1]:
-            raise ValueError(f"{frame['path'].iloc[0]}: the records end at {frame['next'][seen].max()}, not at the file's end")
-        return frame[seen][:-1]
+        path, part = frame["path"].iloc[0], int(frame["part"].iloc[0])
+        ends = np.unique(exits(frame["at"].to_numpy(), frame["next"].to_numpy(), (part + 1) * split))
+        enters = ends[ends >= 0].tolist() + [0] * bool((frame["next"] < 0).any())  # each file begins at 0
+        return pd.DataFrame({"path": path, "part": [x // split for x in enters], "enter": enters}).astype({"part": "int64", "enter": "int64"})
 
-    kept = candidates(spark, folder, split).groupBy("path").applyInPandas(chain, "path string, at long, body long, size long, next long")
+    enters = found.groupBy("path", "part").applyInPandas(leaves, f"{fields}, enter long").distinct()
+
+    def passes(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """Where a chain that enters at these places leaves."""
+        frame = frame.sort_values("at", ignore_index=True)
+        at, enter = frame["at"].to_numpy(dtype=np.int64), own["enter"].to_numpy(dtype=np.int64)
+        leave = np.full(len(enter), _LOST)
+        if len(at) and len(enter):
+            place = np.minimum(np.searchsorted(at, enter), len(at) - 1)
+            leave = np.where(at[place] == enter, exits(at, frame["next"].to_numpy(), (int(frame["part"].iloc[0]) + 1) * split)[place], _LOST)
+        return own.assign(leave=leave)
+
+    jumps = found.groupBy("path", "part").cogroup(enters.groupBy("path", "part")).applyInPandas(passes, f"{fields}, enter long, leave long")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        to = dict(zip(frame["enter"].tolist(), frame["leave"].tolist(), strict=True))
+        seen, at = [], 0
+        while at >= 0:
+            seen.append(at)
+            at = to.get(at, _LOST)
+        if at != _DONE:
+            raise ValueError(f"{frame['path'].iloc[0]}: the records that follow byte {seen[-1]} end within its split, not at the file's end")
+        return pd.DataFrame({"path": frame["path"].iloc[0], "part": [x // split for x in seen], "enter": seen})
+
+    entered = jumps.groupBy("path").applyInPandas(walk, f"{fields}, enter long")
+
+    def keep(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(frame):
+            return frame[:0]
+        frame = frame.sort_values("at", ignore_index=True)
+        return frame[reachable(frame["at"].to_numpy(), frame["next"].to_numpy(), int(own["enter"].iloc[0])) & (frame["next"] >= 0)]
+
+    return found.groupBy("path", "part").cogroup(entered.groupBy("path", "part")).applyInPandas(keep, "path string, at long, body long, size long, next long, part long").drop("part")
+
+
+def records(spark: SparkSession, folder: str, split: int = 8 << 20, with_payload: bool = True) -> DataFrame:
+    """The records of the archives in the folder: id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
+
+    Size and digest of a response are those of the payload read; a record whose payload has another digest than its
+    header says is an error, and so is a file whose records do not end at its length. For a revisit they are the
+    header's, and the payload is null. Payloads are read by splits of the verified places. Ids are whole numbers.
+    """
+    kept = chained(cut(candidates(spark, folder, split)), split)
     schema = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -104,3 +104,29 @@ def test_a_file_that_is_cut_short_is_an_error(spark, tmp_path, keep):
     part.write_bytes(data)
     with pytest.raises(Exception, match="not at the file's end"):
         warc.records(spark, folder).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_by_splits_are_walks(spark, seed):
+    """Random candidates in several files: what the chain from byte 0 reaches, however places are dealt to splits."""
+    rng = random.Random(seed)
+    rows, wanted = [], set()
+    for f in range(3):
+        length = 2_000
+        at = [0, *sorted(rng.sample(range(1, length), 80))]
+        after = [rng.choice([x for x in at if x > a][:6] or [length]) for a in at]
+        rows += [(f"f{f}", a, a + 1, 1, n) for a, n in zip(at, after, strict=True)] + [(f"f{f}", length, -1, -1, -1)]
+        x, to = 0, dict(zip(at, after, strict=True))
+        while x != length:
+            wanted.add((f"f{f}", x))
+            x = to[x]
+    frame = spark.createDataFrame(rows, "path string, at long, body long, size long, next long")
+    for split in (7, 100, 5_000):
+        assert {(r["path"], r["at"]) for r in warc.chained(frame, split).collect()} == wanted
+
+
+def test_a_file_without_a_first_record_is_an_error(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0").write_bytes(b"x" * 3_000)
+    with pytest.raises(Exception, match="not at the file's end"):
+        warc.records(spark, f"{tmp_path}/a", split=512).collect()
