@@ -3,7 +3,8 @@
 A rule is a host and a path; it fits the host and its subdomains where the path starts with the rule's. Every host
 suffix and path prefix of a url that could be a rule is a key. The first filter of a cascade holds the listed keys, the
 second those other keys of the corpus that pass the first, the third the listed keys that pass the second, and so on
-until none is left over. For keys of that corpus the cascade is exact, and no join is needed.
+until none is left over. For keys of that corpus the cascade is exact, and no join is needed. A list whose filters are
+too large for a plan is dealt by a hash of its keys into parts with a cascade each; what they hold is then looked up.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: 64-bit words of all filters of a cascade that may travel inside a plan (1 MB); longer lists are joined instead.
+#: 64-bit words of filters that may travel inside a plan (1 MB); longer lists are dealt into parts.
 MOST_WORDS = 1 << 17
 
 
@@ -68,8 +69,8 @@ class Cascade:
         self.levels.append((hashes, bits, words))
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade | None:
-        """A cascade exact for the keys of `universe` and `listed`; None if its filters would pass MOST_WORDS.
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
+        """A cascade exact for the keys of `universe` and `listed`.
 
         Both have a column `key` without nulls or repeats, and share no key. Each level holds a small part of the one before the last,
         so that the filters take some bits a listed key and grow with the logarithm of the universe only.
@@ -78,11 +79,9 @@ class Cascade:
         n, total = listed.count(), universe.count()
         if not n:
             return out
-        rate = min(0.5, math.sqrt(0.5) * n / max(1, total))
+        rate = _first_rate(n, total)
         inside, outside = listed, universe
         while n:
-            if 2 * n * math.log2(1 / rate) / 64 + sum(len(w) for _, _, w in out.levels) > MOST_WORDS:
-                return None
             out._add(inside, n, rate)
             rest = outside.where(out._passes(F.col("key"), len(out.levels) - 1))
             inside, outside = cut(rest), inside
@@ -90,6 +89,16 @@ class Cascade:
         return out
 
 
+def _first_rate(listed: int, others: int) -> float:
+    """False positives of the first filter that make the filters small in all."""
+    return min(0.5, math.sqrt(0.5) * listed / max(1, others))
+
+
+def words_needed(listed: int, others: int) -> int:
+    """About as many words as the filters of a cascade take."""
+    return math.ceil(2 * listed * math.log2(1 / _first_rate(listed, others)) / 64) if listed else 0
+
+
 def _place(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(64 * level + i)), F.lit(bits).cast("long"))
 
@@ -116,18 +125,37 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     listed = spark.createDataFrame([(k, v) for k, v in sorted(verdicts.items())], "key string, verdict string")
     corpus = cut(found.select(F.explode(own).alias("key")).distinct())
     others = corpus.where(~F.col("key").isin(list(verdicts))) if len(verdicts) <= 1_000 else corpus.join(listed, "key", "left_anti")
-    blocks = listed.where("verdict = 'block'").select("key")
-    in_rules = Cascade.build(listed.select("key"), others)
-    in_blocks = Cascade.build(blocks, others.unionByName(listed.where("verdict <> 'block'").select("key")))
-    if in_rules is None or in_blocks is None:
-        return _by_join(found, own, listed, default)
+    size, blocked = others.count(), sum(v == "block" for v in verdicts.values())
+    need = words_needed(len(verdicts), size) + words_needed(blocked, size + len(verdicts) - blocked)
+    if need > MOST_WORDS:
+        return _by_join(found, own, _by_parts(corpus, others, listed, -(-need // max(8, MOST_WORDS))), default)
+    in_rules, in_blocks = _cascades(listed, others)
     fitting = F.filter(own, lambda k: in_rules.holds(k))
     longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("size"), F.instr(k, "/").alias("host"), k.alias("key"))))["key"]
     return found.withColumn("rule", longest).withColumn("verdict", F.when(F.col("rule").isNull(), default).when(in_blocks.holds(F.col("rule")), "block").otherwise("allow"))
 
 
+def _cascades(listed: DataFrame, others: DataFrame) -> tuple[Cascade, Cascade]:
+    """Of all listed keys, and of those to block."""
+    blocks, allows = (listed.where(F.col("verdict") == v).select("key") for v in ("block", "allow"))
+    return Cascade.build(listed.select("key"), others), Cascade.build(blocks, others.unionByName(allows))
+
+
+def _by_parts(corpus: DataFrame, others: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
+    """(key, verdict) of the corpus's keys that are listed, by a cascade for each part of the keys."""
+    part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts))
+    corpus, others, listed = (cut(x.withColumn("part", part)) for x in (corpus, others, listed))
+    found = None
+    for p in range(parts):
+        own = lambda x, p=p: x.where(F.col("part") == p).drop("part")
+        in_rules, in_blocks = _cascades(own(listed), own(others))
+        held = own(corpus).where(in_rules.holds(F.col("key"))).select("key", F.when(in_blocks.holds(F.col("key")), "block").otherwise("allow").alias("verdict"))
+        found = held if found is None else found.unionByName(held)
+    return cut(found)
+
+
 def _by_join(found: DataFrame, own: Column, listed: DataFrame, default: str) -> DataFrame:
-    """For lists whose filters are too large for a plan: distinct urls' keys meet the list in an equi-join."""
+    """For lists in parts: distinct urls' keys look up what the cascades hold, in an equi-join."""
     each = found.select("host", "path").distinct().select(F.explode(own).alias("key"), "host", "path").join(listed, "key")
     best = each.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("size"), F.instr("key", "/").alias("at"), F.col("key").alias("rule"), "verdict")).alias("best"))
     return found.join(best.select("host", "path", "best.rule", "best.verdict"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
