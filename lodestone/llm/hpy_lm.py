@@ -33,7 +33,7 @@ from lodestone.llm.shared import cut, cut_in_buckets, small_batches
 DISCOUNT, STRENGTH = (0.8, 0.7), (1.0, 10.0)
 END = U64(0x5BF03635F0A31C49)
 _PAIR = U64(0x9FB21C651E98DF25)
-#: Up to so many customers a dish's tables come from the exact conditional; beyond it customers sit down in runs.
+#: Up to so many customers a dish's tables come from the exact conditional; beyond it from its saddle-point approximation.
 EXACT = 512
 #: Words with a greater share of the tokens have their pairs dealt by the other word. It changes no result.
 FREQUENT = 1 / 2048
@@ -100,9 +100,8 @@ def _poisson(rate: np.ndarray, keys: np.ndarray, draw: int) -> np.ndarray:
 def draw_tables(customers: np.ndarray, weight: np.ndarray, level: int, rng: np.random.Generator | None, keys: np.ndarray | None = None, draw: int = 0) -> np.ndarray:
     """Numbers of tables of dishes, given each one's customers and its weight for a new table.
 
-    Up to EXACT customers: an exact draw from the conditional, weight^t * S(c, t). Above: the customers sit down in runs
-    of an eighth of those seated, the number of new tables of a run being Poisson at the rate before it. Draws follow
-    the dishes' keys, or `rng` where there are none.
+    Up to EXACT customers: an exact draw from the conditional, weight^t * S(c, t). Above: one from its saddle-point
+    approximation. Draws follow the dishes' keys, or `rng` where there are none.
     """
     keys = rng.integers(0, 1 << 64, len(customers), dtype=U64) if keys is None else keys
     tables = np.ones(len(customers), dtype=np.int64)
@@ -119,18 +118,29 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, level: int, rng: np.r
             tables[at] = np.minimum(c, 1 + (uniform(keys[at], 256 * draw)[:, None] * score[:, -1:] > score).sum(axis=1))
     many = np.flatnonzero(customers > EXACT)
     if len(many):
-        c, w = customers[many], weight[many]
-        seated, t, step = np.ones(len(many)), np.ones(len(many)), 256 * draw
-        while (going := seated < c).any():
-            run = np.minimum(c - seated, np.maximum(1, seated // 8))
-            rate = w / (w + seated - d * t)
-            t += np.where(going, np.minimum(_poisson(run * rate, keys[many], step), run), 0)
-            seated += np.where(going, run, 0)
-            step += 3
-        tables[many] = t
+        tables[many] = 1 + _many_tables(customers[many].astype(np.float64), weight[many], d, keys[many], 256 * draw)
     return tables
 
 
+def _many_tables(c: np.ndarray, w: np.ndarray, d: float, keys: np.ndarray, draw: int) -> np.ndarray:
+    """Tables beyond the first of dishes with many customers.
+
+    weight^t * S(c, t) / c! is the coefficient of z^c in (weight * (1 - (1 - z)^d) / d)^t / t!: as many groups as a
+    Poisson variate says, whose sizes add up to c. At the saddle point z their mean number is the rate there, and the
+    variance what is left of it given the sum; where z comes near 1, that is the Poisson law itself.
+    """
+    low, high = np.full(len(c), -700.0), np.full(len(c), -1e-12)  # log(1 - z)
+    for _ in range(60):
+        middle = (low + high) / 2
+        more = np.log(w) + np.log1p(-np.exp(middle)) - (1 - d) * middle > np.log(c)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    left = np.exp((low + high) / 2)
+    rate = w / d * (1 - left**d)
+    spread = np.maximum(rate - c / (1 + (1 - left) * (1 - d) / left), 1e-9)
+    near = np.rint(rate + np.sqrt(spread) * _normal(keys, draw + 8))
+    return np.clip(np.where(rate <= 20, _poisson(np.minimum(rate, 20), keys, draw), near), 0, c - 1).astype(np.int64)
+
+
 def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _PAIR + word)
 

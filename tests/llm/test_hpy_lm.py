@@ -191,14 +191,18 @@ def test_gamma_and_poisson_variates():
         assert x.var() == pytest.approx(rate, rel=0.05)
 
 
-@pytest.mark.parametrize("weight", [0.05, 1.0, 20.0])
-def test_runs_come_near_the_exact_conditional(weight, monkeypatch):
-    """Dishes with more customers than EXACT: the mean number of tables, against the exact one."""
+@pytest.mark.parametrize("level", [0, 1])
+@pytest.mark.parametrize("weight", [0.05, 1.0, 20.0, 200.0, 2_000.0])
+def test_dishes_with_many_customers(weight, level, monkeypatch):
+    """More customers than EXACT: mean and deviation of the number of tables, against the exact conditional."""
     c = 400
     t = np.arange(1, c + 1)
-    score = np.log(weight) * t + hpy_lm._log_stirling(0)[c, 1 : c + 1]
+    score = np.log(weight) * t + hpy_lm._log_stirling(level)[c, 1 : c + 1]
     p = np.exp(score - score.max())
-    exact = (p * t).sum() / p.sum()
+    p /= p.sum()
+    mean = (p * t).sum()
     monkeypatch.setattr(hpy_lm, "EXACT", 48)
-    drawn = hpy_lm.draw_tables(np.full(4_000, c), np.full(4_000, weight), 0, np.random.default_rng(2))
-    assert drawn.mean() == pytest.approx(exact, rel=0.25)
+    drawn = hpy_lm.draw_tables(np.full(20_000, c), np.full(20_000, weight), level, np.random.default_rng(2))
+    assert drawn.mean() == pytest.approx(mean, rel=0.04)
+    assert drawn.std() == pytest.approx(math.sqrt((p * (t - mean) ** 2).sum()), rel=0.12)
+    assert 1 <= drawn.min() <= drawn.max() <= c
