@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import hpy_lm
+from lodestone.llm.bytewise import text_buffers
 from lodestone.llm.shared import checksum
 
 SF = "/root/testdata/sf0.001"
@@ -158,17 +160,68 @@ def plain_model(texts, learn, discounts, strengths, sweeps, burn_in, seed=1):
     return [sum(map(math.log10, x)) for x in total]
 
 
-def test_scores_are_those_of_single_seatings(spark):
+def sweeps_in_one_place(texts, learn, sweeps, burn_in, seed=11):
+    """The operator's sweeps over all pairs at once, without blocks, shards or messages; scores of the texts."""
+    words, before, _ = hpy_lm.tokens(*text_buffers(pa.array(learn)))
+    known, place, count = np.unique(words, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(before != 0)
+    keys, n = np.unique(place[at - 1] * len(known) + place[at], return_counts=True)
+    context, word = keys // len(known), keys % len(known)
+    direct = count - np.bincount(word, weights=n, minlength=len(known)).astype(np.int64)
+    own, total = hpy_lm.mix(known + np.uint64(seed)), len(known)
+    served_by = lambda t: direct + np.bincount(word, weights=t, minlength=total).astype(np.int64)
+    after = lambda served, base, sweep: hpy_lm._Parent(total, int(served.sum()), int(base.sum()), float(hpy_lm._masses(known, served, base, seed, sweep).sum()), seed, sweep)
+    t = np.ones(len(keys), dtype=np.int64)
+    served = served_by(t)
+    base = (served > 0).astype(np.int64)
+    parent = after(served, base, 0)
+    (d1, d0), (s1, _) = hpy_lm.DISCOUNT, hpy_lm.STRENGTH
+    sums = [np.zeros(len(tokens(x))) for x in texts]
+    for sweep in range(1, sweeps + 1):
+        chance = parent.chances(hpy_lm._masses(known, served, base, seed, sweep - 1))
+        held = np.bincount(context, weights=t, minlength=total)
+        room = d1 * hpy_lm.gamma(s1 / d1 + held, own, 8 * sweep + 2)
+        t = hpy_lm.draw_tables(n, room[context] * chance[word], 0, None, hpy_lm.pairs(known[context], known[word]) + np.uint64(seed), 8 * sweep)
+        served = served_by(t)
+        base = hpy_lm._seated(known, served, parent, seed, sweep)
+        parent = after(served, base, sweep)
+        if sweep > burn_in:
+            held = np.bincount(context, weights=t, minlength=total)
+            single = parent.predictive(np.append(served - d0 * base, 0.0))  # the last one is of an unknown word
+            of_pair = dict(zip(keys.tolist(), (n - d1 * t).tolist(), strict=True))
+            for x, out in zip(texts, sums, strict=True):
+                w, _, _ = hpy_lm.tokens(*text_buffers(pa.array([x])))
+                spots = [int(np.searchsorted(known, h)) if h in known else total for h in w]
+                for i, q in enumerate(spots):
+                    p = single[q]
+                    if i and spots[i - 1] < total:
+                        c = spots[i - 1]
+                        p = (of_pair.get(c * total + q, 0.0) * (q < total) + (s1 + d1 * held[c]) * p) / (s1 + count[c])
+                    out[i] += p / (sweeps - burn_in)
+    return [float(np.log10(x).sum()) for x in sums]
+
+
+def small_corpus():
     rng = random.Random(6)
-    words = ["a", "b", "c", "d", "e", "f"]
-    learn = [" ".join(rng.choices(words, [9, 5, 3, 2, 1, 1], k=rng.randrange(3, 14))) for _ in range(30)]
-    texts = ["a b a", "b", "c d e f", "", "new a new", "f f f a"]
-    wanted = plain_model(texts, learn, hpy_lm.DISCOUNT, hpy_lm.STRENGTH, 400, 40)
-    rows = list(enumerate(learn)) + list(enumerate(texts, 1_000))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["score"] for r in hpy_lm.score(frame, F.col("doc_id") < 1_000, sweeps=12, burn_in=4).collect()}
-    for i, w in enumerate(wanted):
-        assert found[1_000 + i] == pytest.approx(w, abs=0.04 * len(tokens(texts[i])))
+    learn = [" ".join(rng.choices(["a", "b", "c", "d", "e", "f"], [9, 5, 3, 2, 1, 1], k=rng.randrange(3, 14))) for _ in range(30)]
+    return learn, ["a b a", "b", "c d e f", "", "new a new", "f f f a"]
+
+
+def test_sweeps_give_the_law_of_single_seatings():
+    """Long runs of both samplers come to the same averaged probabilities."""
+    learn, texts = small_corpus()
+    wanted = plain_model(texts, learn, hpy_lm.DISCOUNT, hpy_lm.STRENGTH, 1_500, 100)
+    found = sweeps_in_one_place(texts, learn, 3_000, 200)
+    for t, x, y in zip(texts, found, wanted, strict=True):
+        assert x == pytest.approx(y, abs=0.02 * len(tokens(t)))
+
+
+def test_blocks_and_shards_give_the_same_sweeps(spark):
+    learn, texts = small_corpus()
+    wanted = sweeps_in_one_place(texts, learn, 4, 2)
+    frame = spark.createDataFrame(list(enumerate(learn)) + list(enumerate(texts, 1_000)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in hpy_lm.score(frame, F.col("doc_id") < 1_000, sweeps=4, burn_in=2, rows_a_block=7, tokens_a_shard=100).collect()}
+    assert [found[1_000 + i] for i in range(len(texts))] == pytest.approx(wanted, abs=1e-5)
 
 
 def test_scores_do_not_depend_on_blocks_or_shards(spark):
