@@ -217,11 +217,11 @@ def response_loss(spark, folder):
     return table(spark, folder, "conversations").groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("role") == "assistant", F.length("text"))), 6).alias("loss"))
 
 
-@register("u17b_token_loss", r"WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, turn, unnest(w) AS w FROM t) SELECT conv_id, turn, round(avg(length(w) / 10.0::DOUBLE), 6) AS loss FROM p GROUP BY conv_id, turn")
+@register("u17b_token_loss", r"WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM conversations WHERE role = 'assistant'), p AS (SELECT conv_id, turn, unnest(w) AS w FROM t) SELECT conv_id, turn, round(avg(length(w)), 6) AS loss FROM p GROUP BY conv_id, turn")
 def token_loss(spark, folder):
     """Mean loss over the tokens of a response after its prompt: a model of one's own gives each token a loss."""
     turns = table(spark, folder, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.lit("### Response:").alias("prompt"), F.coalesce("text", F.lit("")).alias("response"))
-    found = models.response_loss(turns, "prompt", "response", lambda tokens: [len(t) / 10 for t in tokens])
+    found = models.response_loss(turns, "prompt", "response", lambda tokens: [float(len(t)) for t in tokens])
     return found.where("loss is not null").select("conv_id", "turn", F.round("loss", 6).alias("loss"))
 
 
