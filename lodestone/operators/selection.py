@@ -6,7 +6,7 @@ import heapq
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.ingest import hash_order, top_of_each
@@ -17,7 +17,7 @@ Vector = dict[int, float]
 
 #: Rows that one task may sort for a limit; more are found by positions over sorted ranges.
 MOST_SORTED = 100_000
-#: Vectors that a greedy selection may hold on the driver; beyond it each choice is an aggregate over all rows.
+#: Vectors that a greedy selection may hold on the driver at once.
 MOST_HELD = 200_000
 
 
@@ -37,76 +37,49 @@ def scalar_topk(rows: DataFrame, scalar: str, position: str, k: int) -> DataFram
     return (ranked.drop("position") if position != "position" else ranked.withColumn("position", F.col(place))).drop(place)
 
 
-def lazy_greedy(rows: DataFrame, k: int, first_gain: str, gain: Callable[[Vector, Vector], float], page: int = 2_000, step_gain: Callable[[Column, Column], Column] | None = None, most: int = MOST_HELD) -> list[tuple[int, float]]:
+def lazy_greedy(rows: DataFrame, k: int, gain: Callable[[Vector, Vector], float], step_gain: Callable[[Column, Column], Column], page: int = 2_000, most: int = MOST_HELD) -> list[tuple[int, float]]:
     """(position, gain) of k rows, each the best given those before it.
 
-    rows: position, vector (map of int to double), and the column of gains before anything is chosen. Gains must only
-    fall as totals grow (a submodular objective), so that a gain computed earlier is an upper bound. Rows reach the
-    driver page by page, largest first gain first, and only while some row that it has not seen could still win; it
-    holds the pages read and the totals. Ties: gain (to 12 places), then the vector's sum, then position.
+    rows: position, vector (map of int to double). gain is that of a vector, given the totals; step_gain the same as a
+    column for one entry, given its total. Gains must only fall as totals grow (a submodular objective), so that a gain
+    computed earlier is an upper bound. Ties: gain (to 12 places), then the vector's sum, then position.
 
-    Where that would take more than `most` rows, as with first gains that are all alike, the driver lets them go and
-    each further choice is a maximum over all rows; step_gain is then the gain of one entry, given it and its total.
+    A pass over all rows finds the `page` best at the totals so far (`most` at most). The driver chooses among them while
+    the best of them comes before where the last of them stood, which no row that it lacks can do. So a pass chooses one
+    row at least, and the driver gets k pages at most, however many rows there are and however alike their gains.
     """
-    ordered = cut(rows.select("position", "vector", F.col(first_gain).alias("g")))
-    total = ordered.count()
+    held = cut(rows.select("position", F.coalesce("vector", F.create_map().cast(rows.schema["vector"].dataType)).alias("vector")))
     totals: Vector = {}
-    heap: list[tuple] = []
-    vectors: dict[int, Vector] = {}
     out: list[tuple[int, float]] = []
-    bound: tuple[float, int] | None = None
-    read = 0
-
-    def more() -> float:
-        """Read another page; the largest first gain that may be left."""
-        nonlocal bound, read
-        rest = ordered if bound is None else ordered.where((F.col("g") < bound[0]) | ((F.col("g") == bound[0]) & (F.col("position") > bound[1])))
-        found = rest.orderBy(F.desc("g"), "position").limit(page).collect()
-        for r in found:
-            v = {int(i): float(x) for i, x in (r["vector"] or {}).items()}
-            vectors[r["position"]] = v
-            heapq.heappush(heap, (-round(r["g"], 12), -round(sum(v.values()), 12), r["position"], 0))
-        read += len(found)
-        if found:
-            bound = (found[-1]["g"], found[-1]["position"])
-        return found[-1]["g"] if found and read < total else -math.inf
-
-    unseen = more() if k > 0 else -math.inf
-    while heap and len(out) < k:
-        if -heap[0][0] <= round(unseen, 12) and unseen > -math.inf:
-            if step_gain is not None and read + page > most:
-                return out + _greedy_rounds(ordered, k - len(out), {p for p, _ in out}, totals, step_gain)
-            unseen = more()
-            continue
-        g, s, position, step = heapq.heappop(heap)
-        if step == len(out):
-            out.append((position, -g))
-            for i, x in vectors[position].items():
-                totals[i] = totals.get(i, 0.0) + x
-            del vectors[position]
-        else:
-            heapq.heappush(heap, (-round(gain(vectors[position], totals), 12), s, position, len(out)))
+    page = max(1, min(page, most))
+    while len(out) < k:
+        found = _best_at(held, page, [p for p, _ in out], totals, step_gain)
+        vectors = {r["position"]: {int(i): float(x) for i, x in r["vector"].items()} for r in found}
+        heap = [(-r["gain"], -r["sum"], r["position"], len(out)) for r in found]
+        last = max(heap)[:3] if len(found) == page else None
+        heapq.heapify(heap)
+        if not heap:
+            break
+        while heap and len(out) < k and (last is None or heap[0][:3] <= last):
+            g, s, position, step = heapq.heappop(heap)
+            if step == len(out):
+                out.append((position, -g))
+                for i, x in vectors[position].items():
+                    totals[i] = totals.get(i, 0.0) + x
+            else:
+                heapq.heappush(heap, (-round(gain(vectors[position], totals), 12), s, position, len(out)))
     return out
 
 
-def _greedy_rounds(rows: DataFrame, k: int, chosen: set[int], totals: Vector, step_gain: Callable[[Column, Column], Column]) -> list[tuple[int, float]]:
-    """The same choices, one aggregate each: totals and what is chosen are as small as dimensions and the budget."""
-    spark, out = rows.sparkSession, []
-    taken = set(chosen)
-    for _ in range(k):
-        gone = spark.createDataFrame([(p,) for p in sorted(taken)], "position long")
-        known = F.create_map(*[F.lit(x) for i, t in sorted(totals.items()) for x in (i, t)]) if totals else F.create_map().cast("map<int,double>")
-        entry = lambda e, known=known: step_gain(e["value"], F.coalesce(F.element_at(known, e["key"]), F.lit(0.0)))
-        add = lambda f: F.aggregate(F.array_sort(F.map_entries("vector")), F.lit(0.0), lambda a, e: a + f(e))
-        value = F.struct(F.round(add(entry), 12).alias("gain"), F.round(add(lambda e: e["value"]), 12).alias("sum"), (-F.col("position")).alias("minus"))
-        best = rows.join(gone, "position", "left_anti").agg(F.max_by(F.struct("position", "vector", value.alias("v")), value).alias("b")).first()["b"]
-        if best is None:
-            break
-        out.append((best["position"], best["v"]["gain"] or 0.0))
-        taken.add(best["position"])
-        for i, x in (best["vector"] or {}).items():
-            totals[i] = totals.get(i, 0.0) + x
-    return out
+def _best_at(rows: DataFrame, page: int, chosen: list[int], totals: Vector, step_gain: Callable[[Column, Column], Column]) -> list[Row]:
+    """(position, vector, gain, sum) of the best rows at these totals. They come as one row: a collected limit would send
+    the driver a page from each partition."""
+    known = F.create_map(*[F.lit(x) for i, t in sorted(totals.items()) for x in (i, t)]) if totals else F.create_map().cast("map<int,double>")
+    add = lambda f: F.round(F.aggregate(F.array_sort(F.map_entries("vector")), F.lit(0.0), lambda a, e: a + f(e)), 12)
+    value = add(lambda e: step_gain(e["value"], F.coalesce(F.element_at(known, e["key"]), F.lit(0.0))))
+    left = rows.where(~F.col("position").isin(chosen)) if chosen else rows
+    best = left.select("position", "vector", value.alias("gain"), add(lambda e: e["value"]).alias("sum")).orderBy(F.desc("gain"), F.desc("sum"), "position").limit(page)
+    return best.agg(F.collect_list(F.struct("position", "vector", "gain", "sum")).alias("best")).first()["best"]
 
 
 def coverage_gain(vector: Vector, totals: Vector) -> float:
@@ -115,9 +88,8 @@ def coverage_gain(vector: Vector, totals: Vector) -> float:
 
 def vector_greedy(rows: DataFrame, k: int, page: int = 2_000, most: int = MOST_HELD) -> list[tuple[int, float]]:
     """Maximise the sum of log(1 + total) over dimensions. rows: position, vector of positive entries."""
-    first = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda a, x: a + F.log1p(x))
     step = lambda x, t: F.log1p(t + x) - F.log1p(t)
-    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", coverage_gain, page, step, most)
+    return lazy_greedy(rows, k, coverage_gain, step, page, most)
 
 
 def mig_greedy(rows: DataFrame, k: int, page: int = 2_000, a: float = 1.0, b: float = 0.8, phi: str = "pow", alpha: float = 1.0) -> list[tuple[int, float]]:
@@ -136,8 +108,7 @@ def mig_greedy(rows: DataFrame, k: int, page: int = 2_000, a: float = 1.0, b: fl
         return sum(x * slope(totals.get(i, 0.0)) for i, x in sorted(vector.items()))
 
     step = lambda x, t: x * (b * F.pow(t + a, b - 1) if phi == "pow" else alpha * F.exp(-alpha * t))
-    first = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda s, x: s + x * slope(0.0))
-    return lazy_greedy(rows.withColumn("_first", F.coalesce(first, F.lit(0.0))), k, "_first", gain, page, step)
+    return lazy_greedy(rows, k, gain, step, page)
 
 
 #: Candidate rows of diverse sampling that may come to the driver.

@@ -97,6 +97,29 @@ def test_greedy_without_pages_on_the_driver(spark):
     assert [(p, round(g, 9)) for p, g in few] == [(p, round(g, 9)) for p, g in all_]
 
 
+def sent(spark, run):
+    """Bytes of task results that a call brings to the driver."""
+    spark.sparkContext.setJobGroup(name := f"sent-{random.random()}", "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(name) for i in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(i).resultSize() for i in stages)
+
+
+@pytest.mark.parametrize("greedy", [selection.vector_greedy])
+def test_greedy_sends_the_driver_no_more_of_larger_tables(spark, greedy):
+    """Gains that are all alike: every row could win, but the driver gets a page a choice at most."""
+    def run(n):
+        w = (F.col("id") % 89 + 1) / 100
+        rows = spark.range(0, n, 1, 8).select(F.col("id").alias("position"), F.create_map((F.col("id") % 5).cast("int"), w, F.lit(7), 1 - w).alias("vector"))
+        return sent(spark, lambda: greedy(rows, 4, 100))
+
+    assert run(8_000) < 2 * run(2_000)
+
+
 def test_first_rows_over_ranges(spark, monkeypatch):
     rows = spark.createDataFrame([(i, (i * 7) % 13 if i % 5 else None) for i in range(60)], "id long, s long")
     few = selection.scalar_topk(rows, "s", "id", 25).orderBy("selection_rank").collect()
