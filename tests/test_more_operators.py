@@ -109,7 +109,7 @@ def sent(spark, run):
     return sum(store.lastStageAttempt(i).resultSize() for i in stages)
 
 
-@pytest.mark.parametrize("greedy", [selection.vector_greedy])
+@pytest.mark.parametrize("greedy", [selection.vector_greedy, selection.mig_greedy])
 def test_greedy_sends_the_driver_no_more_of_larger_tables(spark, greedy):
     """Gains that are all alike: every row could win, but the driver gets a page a choice at most."""
     def run(n):
