@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import json
 import math
 import random
@@ -109,7 +110,7 @@ def sent(spark, run):
     return sum(store.lastStageAttempt(i).resultSize() for i in stages)
 
 
-@pytest.mark.parametrize("greedy", [selection.vector_greedy, selection.mig_greedy])
+@pytest.mark.parametrize("greedy", [selection.vector_greedy, selection.mig_greedy, functools.partial(selection.mig_greedy, phi="exp", alpha=0.5)])
 def test_greedy_sends_the_driver_no_more_of_larger_tables(spark, greedy):
     """Gains that are all alike: every row could win, but the driver gets a page a choice at most."""
     def run(n):
